@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +34,26 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables that one run of an operator writes to the shared folder and reads
-    back, so that work is neither repeated nor tied to the executors that did it."""
+    """Intermediate tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.folder = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
         self._numbers = itertools.count()
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Keeps what is read more than once on the executors' disks. A block that is
+        lost with its executor is computed again, so this suits tables one step away
+        from an input or a shuffle; it does not cut lineage."""
+        return df.persist(StorageLevel.DISK_ONLY)
+
+    def keep(self, df: DataFrame, name: str = "t", files_a_core: int | None = 2) -> DataFrame:
+        """Writes a table to the shared folder and reads it back, which cuts lineage.
+        Tables of few columns get few files: ``files_a_core`` for each core at most."""
         path = f"{self.folder}/{name}-{next(self._numbers)}"
         schema = df.schema
+        if files_a_core:
+            df = df.coalesce(files_a_core * self.spark.sparkContext.defaultParallelism)
         df.write.parquet(path)
         kept = self.spark.read.schema(schema).parquet(path)
         kept._tallyweave_path = path

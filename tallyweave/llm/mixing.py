@@ -45,18 +45,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def _queued(docs: DataFrame, size: Column, scratch: Scratch) -> DataFrame:
+def _queued(docs: DataFrame, size: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Each document with ``before``, the words of its source that are queued ahead
-    of it in the shuffled order, and its source's size and target."""
-    sizes = scratch.keep(
-        docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row")), "sizes"
+    of it in the shuffled order, and its source's size and target; and the targets."""
+    sizes = scratch.hold(
+        docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"))
     )
     targets = scratch.keep(source_targets(sizes), "targets")
     name, unnamed = F.coalesce("source", F.lit("")).alias("source"), F.isnull("source").alias("unnamed")
     order = hex_order(F.col("doc_id"))
     rows = sizes.select("row", "doc_id", "size", name, unnamed, order.alias("order"), F.substring(order, 1, 3).alias("bucket"))
     queued = running_sums(rows, ["source", "unnamed"], "bucket", ["order", "doc_id", "size", "row"], {"size": "before"})
-    return queued.join(targets.select(name, unnamed, "source_size", "target"), ["source", "unnamed"])
+    return queued.join(targets.select(name, unnamed, "source_size", "target"), ["source", "unnamed"]), targets
 
 
 def fair_mix(docs: DataFrame, spark: SparkSession, size: Column | None = None) -> DataFrame:
@@ -75,20 +75,22 @@ def fair_mix(docs: DataFrame, spark: SparkSession, size: Column | None = None) -
     source. Repeated rows queue as documents of their own. Other columns are ignored.
     """
     scratch = Scratch(spark, "mix")
-    queued = _queued(docs, word_count(F.col("text")) if size is None else size, scratch)
+    queued, targets = _queued(docs, word_count(F.col("text")) if size is None else size, scratch)
     start = F.col("before") + F.col("epoch") * F.col("source_size")
     served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start))
-    uses = scratch.keep(
+    uses = scratch.hold(
         queued.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
         .withColumn("served", served)
-        .withColumn("finish", F.when(F.col("served") > 0, (start + F.col("served")) / F.col("target"))),
-        "uses",
+        .withColumn("finish", F.when(F.col("served") > 0, (start + F.col("served")) / F.col("target")))
+    )
+    step = F.when(F.col("served") > 0, F.least((F.col("finish") * STEPS).cast("int"), F.lit(STEPS - 1))).otherwise(
+        F.lit(STEPS) + F.pmod(F.xxhash64("row"), F.lit(STEPS)).cast("int")  # unused: no order among them
     )
-    step = F.coalesce(F.least((F.col("finish") * STEPS).cast("int"), F.lit(STEPS - 1)), F.lit(STEPS) + F.pmod("row", F.lit(STEPS)).cast("int"))
     timed = uses.select("*", F.lit(0).alias("mix"), step.alias("step")).drop("bucket")
     order = ["finish", "source", "unnamed", "epoch", "order", "doc_id", "row"]
     placed = running_sums(timed, ["mix"], "step", order, {"served": "ahead"})
-    budget = placed.crossJoin(F.broadcast(uses.agg(F.sum("served").alias("mix_size"))))  # one row
+    whole = targets.agg(F.sum(F.floor("target")).alias("mix_size"))  # one row; sources can give all of it
+    budget = placed.crossJoin(F.broadcast(whole))
     got = F.greatest(F.lit(0), F.least(F.col("served"), F.col("mix_size") - F.col("ahead")))
     return (
         budget.withColumn("got", got)
@@ -111,7 +113,7 @@ def mixed_documents(docs: DataFrame, spark: SparkSession, size: Column | None =
     not shuffled.
     """
     scratch = Scratch(spark, "mixed")
-    queued = _queued(docs, word_count(F.col("text")) if size is None else size, scratch)
+    queued, _ = _queued(docs, word_count(F.col("text")) if size is None else size, scratch)
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(1).cast("int")
     last = F.max(F.when(F.col("before") < budget - whole * F.col("source_size"), F.struct("order", "doc_id")))
