@@ -73,8 +73,7 @@ def pack(
     gets the histogram, at most ``context`` rows. Null texts count as empty; repeated
     rows are packed as often as they come; an empty table gives no rows.
     """
-    scratch = Scratch(spark, "pack")
-    cut = scratch.keep(pieces(docs, length, context), "pieces")
+    cut = Scratch(spark, "pack").hold(pieces(docs, length, context))
     histogram = cut.filter("length > 0").groupBy("length").agg(F.count("*").alias("n")).orderBy("length").toPandas()
     tops = boundaries(histogram["length"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), buckets)
     boundary = F.element_at(F.filter(F.array(*(F.lit(x).cast("long") for x in tops or [0])), lambda b: b >= F.col("length")), 1)
