@@ -135,7 +135,7 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 2, long_list: int =
         raise ValueError("distance must be 0, 1 or 2")
     index = fps.select("fp", F.explode(_terms(F.col("fp"))).alias("t")).select("t.term", "t.bytes", "fp")
     lengths = index.groupBy("term", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    index = scratch.keep(index.join(lengths, ["term", "bytes"]), "index")
+    index = scratch.hold(index.join(lengths, ["term", "bytes"]))
     short = index.filter(F.col("n") <= long_list).select("term", "bytes", "fp")
     a, b = F.col("l.fp"), F.col("r.fp")
     pairs = (
@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, distance: int = 2, wid
     rows stay repeated. Other columns are ignored. An empty table gives no rows.
     """
     scratch = Scratch(spark, "simhash")
-    rows = scratch.keep(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")), "fingerprints")
-    classes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    rows = scratch.hold(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")))
+    classes = scratch.hold(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = scratch.keep(links(classes.select("fp"), scratch, distance), "links")
     roots = scratch.keep(components(edges, scratch).withColumnRenamed("node", "fp"), "roots")
     joined = roots.join(classes, "fp")
