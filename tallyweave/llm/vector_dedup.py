@@ -396,7 +396,7 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, settings: Settings
     for each vector and a wider beam, twice at most; the last result stands.
     """
     scratch = Scratch(spark, "vectors")
-    nodes = scratch.keep(distinct_vectors(vectors), "nodes")
+    nodes = scratch.hold(distinct_vectors(vectors))
     audit = _audit_queries(nodes, settings)
     for attempt in range(3):
         found = scratch.keep(_links(nodes, spark, settings, scratch), "found")
@@ -428,11 +428,11 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, settings: Settings
 
 
 def _links(nodes: DataFrame, spark: SparkSession, settings: Settings, scratch: Scratch) -> DataFrame:
-    dealt = scratch.keep(_dealt(nodes, spark, settings), "dealt")
+    dealt = scratch.hold(_dealt(nodes, spark, settings))
     sizes = dealt.groupBy("label", "dims", "cluster").agg(F.ceil(F.count("*") / (settings.shard * 2)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(settings.seed + 1)), F.col("blocks")).cast("int")
-    members = scratch.keep(dealt.join(sizes, ["label", "dims", "cluster"]).withColumn("block", block), "members")
-    graph = scratch.keep(_graph(members, settings), "graph")
+    members = dealt.join(sizes, ["label", "dims", "cluster"]).withColumn("block", block)
+    graph = scratch.hold(_graph(members, settings))
     return _search(members, graph, settings)
 
 
