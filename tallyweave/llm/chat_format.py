@@ -54,9 +54,9 @@ def maximal_conversations(turns: DataFrame, spark: SparkSession) -> DataFrame:
     (nearly all have one). Of equal conversations the smallest conv_id stays.
     """
     scratch = Scratch(spark, "chat")
-    rolled = scratch.keep(prefixes(turns), "prefixes")
+    rolled = scratch.hold(prefixes(turns))
     sizes = rolled.groupBy("conv_id").agg(F.count("*").alias("n_turns"))
-    marked = scratch.keep(rolled.join(sizes, "conv_id").select("conv_id", "place", "n_turns", *_SUMS), "marked")
+    marked = scratch.hold(rolled.join(sizes, "conv_id").select("conv_id", "place", "n_turns", *_SUMS))
     whole = marked.filter("place = n_turns - 1").groupBy("n_turns", *_SUMS).agg(F.min("conv_id").alias("conv_id"))
     inner = marked.filter("place < n_turns - 1").select((F.col("place") + 1).alias("n_turns"), *_SUMS).distinct()
     kept = scratch.keep(whole.join(inner, ["n_turns", *_SUMS], "left_anti").select("conv_id", "n_turns"), "kept")
