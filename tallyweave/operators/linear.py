@@ -158,7 +158,7 @@ def heavy(estimates: DataFrame, counted: DataFrame, phi: float) -> DataFrame:
 def by_partition(stream: DataFrame, parts: int, grids: Grid | Mapping[int, Grid], signed: bool = False, family: str = "portable") -> DataFrame:
     """The sketch as built on ``parts`` partitions and merged: cells by partition first."""
     part = F.pmod(hash_pair(F.lit("part"), F.col("key"), family)["hi"], F.lit(parts))
-    split = stream.withColumn("part", part).groupBy("part", "key").agg(F.sum("weight").alias("total"))
+    split = frequencies(stream).withColumn("part", part)
     placed = places(split, grids, family)
     value = F.col("total") * F.col("sign") if signed else F.col("total")
     local = placed.groupBy("part", "tag", "row", "bucket").agg(F.sum(value).alias("cell"))

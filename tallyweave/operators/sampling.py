@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +25,12 @@ def concise(stream: DataFrame, size: int | dict[int, int], seeds: tuple[int, ...
     tag), kept with chance 1 / t, t the least power of two that leaves so few.
 
     A unit survives level k if its hash has k trailing zero bits. Counts by level are a
-    few rows; units below the level of each tag are dropped before they are counted.
+    few rows. The counts by key and level are read twice and kept for that, until the
+    caller clears the session's cache.
     """
     sizes = {0: size} if isinstance(size, int) else size
     levels = units(stream, seeds).select("seed", "key", trailing_zeros(F.col("h")).cast("int").alias("level"))
-    counts = levels.groupBy("seed", "key", "level").agg(F.count("*").alias("c"))
+    counts = levels.groupBy("seed", "key", "level").agg(F.count("*").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
     by_level = counts.groupBy("seed", "level").agg(F.sum("c").alias("c"))
     wanted = F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(s).cast("long").alias("size")) for t, s in sizes.items())))
     tried = by_level.withColumn("least", F.explode(F.sequence(F.lit(0), F.lit(60))))

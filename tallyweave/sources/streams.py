@@ -13,6 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows to all cores if the input has fewer splits than there are cores, as
+    one small file has; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stream(df: DataFrame, key: Column, weight: Column | int = 1, order: Column | None = None) -> DataFrame:
     """A stream from any table. Rows without key or weight are left out; a negative
     weight raises an error, as the summaries count insertions only."""
@@ -33,7 +40,7 @@ def words(df: DataFrame, text: str = "text", number: Column | None = None) -> Da
 
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
-    return words(table(spark, folder, "documents"), number=F.col("doc_id"))
+    return words(spread(table(spark, folder, "documents").select("doc_id", "text")), number=F.col("doc_id"))
 
 
 def conversation_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +58,7 @@ def typed_users(spark: SparkSession, folder: str) -> DataFrame:
 
 def suppliers(spark: SparkSession, folder: str) -> DataFrame:
     order = F.col("l_orderkey") * 16 + F.col("l_linenumber")
-    return stream(table(spark, folder, "lineitem"), F.col("l_suppkey"), F.col("l_quantity"), order)
+    return stream(spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")), F.col("l_suppkey"), F.col("l_quantity"), order)
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
