@@ -236,9 +236,11 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
-def centroids(nodes: DataFrame, settings: Settings) -> dict[tuple, np.ndarray]:
-    """Centroids by (label, length of vectors), from a bounded sample chosen by hash,
-    as spherical k-means. Groups that one shard holds get none."""
+def centroids(nodes: DataFrame, settings: Settings) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Centroids and the cluster of each, by (label, length of vectors), from a bounded
+    sample chosen by hash, as spherical k-means. Groups that one shard holds get none.
+    Centroids within ``slack`` and a little of linking are one cluster, so that a dense
+    group is not parted: it becomes blocks of one cluster, which are searched in pairs."""
     sizes = (
         nodes.groupBy("label", F.size("embedding").alias("dims")).count()
         .filter(F.col("count") > settings.shard).orderBy(F.desc("count")).limit(settings.centroids // 2).collect()
@@ -266,7 +268,10 @@ def centroids(nodes: DataFrame, settings: Settings) -> dict[tuple, np.ndarray]:
             np.add.at(sums, nearest, x)
             some = np.abs(sums).max(axis=1) > 1e-12
             middle[some] = _unit(sums[some])
-        out[label, dims] = middle
+        a, b = np.nonzero(middle @ middle.T >= settings.threshold - settings.slack - 0.05)
+        _, cluster = np.unique(_forest(len(middle), a, b), return_inverse=True)
+        if cluster.max() + 1 > settings.overlap:
+            out[label, dims] = middle, cluster
     return out
 
 
@@ -281,10 +286,13 @@ def _dealt(nodes: DataFrame, spark: SparkSession, settings: Settings) -> DataFra
             home = [[0]] * len(rows)
             dims = rows["embedding"].map(len)
             for (label, size), at in rows.groupby(["label", dims], sort=False).indices.items():
-                middle = middles.get((label, size))
-                if middle is not None:
-                    x = _unit(_vectors(rows["embedding"].iloc[at]))
-                    best = np.sort(np.argsort(-(x @ middle.T), axis=1)[:, : settings.overlap], axis=1)
+                if (label, size) in middles:
+                    middle, cluster = middles[label, size]
+                    sims = _unit(_vectors(rows["embedding"].iloc[at])) @ middle.T
+                    by = np.argsort(cluster, kind="stable")
+                    starts = np.searchsorted(cluster[by], np.arange(cluster.max() + 1))
+                    near = np.maximum.reduceat(sims[:, by], starts, axis=1)
+                    best = np.sort(np.argsort(-near, axis=1, kind="stable")[:, : settings.overlap], axis=1)
                     for i, clusters in zip(at, best.tolist(), strict=True):
                         home[i] = clusters
             yield rows.assign(home=home, dims=dims)
