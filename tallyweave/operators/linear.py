@@ -7,9 +7,11 @@ in one table, so that a sweep over shapes is one job. Streams are summed by key
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,3 +170,56 @@ def by_partition(stream: DataFrame, parts: int, grids: Grid | Mapping[int, Grid]
 def sketch_of(stream: DataFrame, grid: Grid, family: str = "portable") -> DataFrame:
     """Count-Min cells of a raw stream."""
     return count_min(frequencies(stream), grid, family)
+
+
+def _batch_signs(hashes: np.ndarray, first: int, last: int, seed: int) -> np.ndarray:
+    """+1 or -1 of each key hash for copies ``first`` to ``last``: the top bit of a
+    multiply-xorshift mix of hash and copy number."""
+    copy = (np.arange(first, last, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = hashes[:, None] ^ copy[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return np.where(mixed >> np.uint64(63), np.int8(1), np.int8(-1))
+
+
+def ams_batched(counted: DataFrame, grid: Grid, seed: int = 0) -> DataFrame:
+    """``row``, ``copy``, ``x`` for grids of many copies: sign matrices over Arrow batches,
+    of which each partition yields only its sums, instead of a row for each key and copy."""
+    copies = grid.rows * grid.width
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(copies, np.int64)
+        for batch in batches:
+            hashes, totals = batch["h"].to_numpy(np.int64).view(np.uint64), batch["total"].to_numpy(np.int64)
+            for at in range(0, copies, 1 << 10):
+                last = min(copies, at + (1 << 10))
+                for part in range(0, len(batch), 1 << 10):
+                    signs = _batch_signs(hashes[part : part + (1 << 10)], at, last, seed)
+                    sums[at:last] += totals[part : part + (1 << 10)] @ signs.astype(np.int64)
+        number = np.arange(copies)
+        yield pd.DataFrame({"row": number // grid.width, "copy": number % grid.width, "x": sums})
+
+    hashed = counted.select(F.xxhash64("key").alias("h"), "total")
+    return merge_ams(hashed.mapInPandas(of, "row int, copy int, x long"))
+
+
+def ams_batched_estimates(keys: DataFrame, state: DataFrame, grid: Grid, seed: int = 0) -> DataFrame:
+    """``key``, ``estimate`` from a state of ``ams_batched``, which has one number for each
+    copy and goes to every executor."""
+    x = state.orderBy("row", "copy").toPandas()["x"].to_numpy(np.int64)
+    if len(x) != grid.rows * grid.width:
+        raise ValueError("the state is not of this grid")
+    sent = keys.sparkSession.sparkContext.broadcast(x)
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = batch["h"].to_numpy(np.int64).view(np.uint64)
+            means = np.zeros((len(batch), grid.rows), np.int64)
+            for row in range(grid.rows):
+                for at in range(0, grid.width, 1 << 10):
+                    first, last = row * grid.width + at, row * grid.width + min(grid.width, at + (1 << 10))
+                    means[:, row] += _batch_signs(hashes, first, last, seed).astype(np.int64) @ sent.value[first:last]
+            means = np.trunc(means / grid.width).astype(np.int64)
+            yield pd.DataFrame({"key": batch["key"], "estimate": np.sort(means, axis=1)[:, grid.rows // 2]})
+
+    return keys.select("key", F.xxhash64("key").alias("h")).mapInPandas(of, "key string, estimate long")

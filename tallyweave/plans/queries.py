@@ -516,3 +516,25 @@ rep AS (SELECT 'reservoir' AS algorithm, 256 AS memory_kb, key, estimate FROM av
 )
 def reservoir_memory_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return experiments.memory_sweep(streams.suppliers(spark, folder), (256,), 0.01, ("reservoir",))
+
+
+_AMS_KB = 4
+
+
+def _gated_sql(kb: int) -> str:
+    gate, grid = sizing.gated_ams_for(kb)
+    return f"{_cms(gate)}, {_ams(grid, grid.width)}"
+
+
+@query(
+    f"""WITH {USERS}, {COUNT}, hh AS (SELECT key, total FROM f, n WHERE total >= ceil(0.006::DOUBLE * n.n)::BIGINT), {_gated_sql(_AMS_KB)}, rep AS (
+SELECT 'ams' AS algorithm, {_AMS_KB} AS memory_kb, key, ae.estimate FROM ae JOIN e USING (key), n WHERE e.estimate >= ceil(0.006::DOUBLE * n.n)::BIGINT AND ae.estimate >= ceil(0.006::DOUBLE * n.n)::BIGINT)
+{_quality("rep", "hh", "algorithm, memory_kb,")}"""
+)
+def ams_memory_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    return experiments.memory_sweep(streams.users(spark, folder), (_AMS_KB,), 0.006, ("ams",))
+
+
+@query()
+def ams_batched_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    return experiments.memory_sweep(streams.users(spark, folder), (16, 64), 0.006, ("ams_batched",))

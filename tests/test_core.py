@@ -326,3 +326,35 @@ def test_partitioned_linear_sketches_do_not_drift(spark):
     assert len(rows) == 6 and all(r["max_abs_diff"] == 0 for r in rows)
     lossy = experiments.counter_partition_sweep(stream, (1, 4), kb=1, k=10).collect()
     assert {r["partitions"] for r in lossy} == {1, 4}
+
+
+def test_mergeable_contract(spark):
+    from tallyweave.operators import mergeable
+
+    keys = counted(spark, ROWS).select("key")
+    for kind in (mergeable.CountMin(Grid(3, 64)), mergeable.CountSketch(Grid(5, 64)), mergeable.Ams(Grid(5, 64)), mergeable.MisraGries(10, 2)):
+        whole = kind.estimate(kind.build(make(spark, ROWS)), keys)
+        parts = mergeable.merged(kind, kind, kind.build(make(spark, ROWS[:3])), kind.build(make(spark, ROWS[3:])))
+        assert as_dict(kind.estimate(parts, keys)) == as_dict(whole)
+    with pytest.raises(ValueError):
+        other = mergeable.CountMin(Grid(3, 64), seed=1)
+        mergeable.merged(mergeable.CountMin(Grid(3, 64)), other, keys, keys)
+
+
+def test_batched_ams(spark):
+    c, grid = counted(spark, [("wiki", 3), ("wiki", 5)]), Grid(3, 2000)
+    state = linear.ams_batched(c, grid)
+    assert state.count() == 6000 and {abs(r["x"]) for r in state.collect()} == {8}
+    assert linear.ams_batched_estimates(c, state, grid).first()["estimate"] == 8
+    many = counted(spark, [(f"k{i}", 1 + i % 4) for i in range(200)])
+    f2 = many.agg(F.sum(F.col("total") * F.col("total"))).first()[0]
+    whole = linear.ams_batched(many, grid)
+    assert abs(linear.ams_second_moment(whole, grid).first()["f2"] - f2) < 0.15 * f2
+    halves = [linear.ams_batched(many.filter(F.crc32(F.col("key").cast("binary")) % 2 == p), grid) for p in (0, 1)]
+    assert sorted(map(tuple, linear.merge_ams(*halves).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_timed_builds(spark):
+    stream = make(spark, ROWS)
+    rows = experiments.timed(lambda p: linear.by_partition(stream, p, Grid(2, 8)), (1, 2), 5)
+    assert rows[0]["speedup"] == 1 and all(r["rows_a_second"] > 0 for r in rows)
