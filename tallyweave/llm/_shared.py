@@ -122,9 +122,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternates two moves on an edge table until it stops changing: every node
     hands its larger neighbours (large star), then its smaller ones (small
     star), the smallest node it knows. Each move is one aggregate and one join
-    over narrow rows; the table never grows beyond its first size, and the
-    minima are written before the join so that a hub's edges can be split
-    over tasks. Null and self links are dropped.
+    over narrow rows; the table never grows beyond its first size. The minima are
+    held before the join, so that both of its sides are shuffled for it and a hub's
+    edges can be split over tasks. Each round ends with a written table, which cuts
+    its lineage. Null and self links are dropped.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = scratch.keep(
@@ -133,22 +134,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = scratch.keep(
-            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
-            "large",
+        least = scratch.hold(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = scratch.hold(
+            both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        scratch.drop(least, now)
-        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        joined = large.join(least, "u")
-        now = scratch.keep(
-            joined.filter("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .distinct(),
-            "edges",
-        )
-        scratch.drop(large, least)
+        smallest = scratch.hold(large.groupBy("u").agg(F.min("v").alias("m")))
+        moved = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, now = now, scratch.keep(moved.union(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        for held in (smallest, large, least):
+            held.unpersist()
+        scratch.drop(last)
         seen = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()
