@@ -48,8 +48,9 @@ def concise_estimates(sample: DataFrame) -> DataFrame:
 
 def reservoir(stream: DataFrame, size: int, seed: int = 42) -> DataFrame:
     """``key``, ``sample_count``, ``m``: a uniform sample of ``size`` units without
-    replacement, those with the smallest hashes; m is its real size."""
-    drawn = units(stream, (seed,)).orderBy("h", "ord").limit(size).groupBy("key").agg(F.count("*").alias("sample_count"))
+    replacement, those with the smallest hashes, of equal ones those with the smallest
+    place, then key; m is its real size."""
+    drawn = units(stream, (seed,)).orderBy("h", "ord", "key").limit(size).groupBy("key").agg(F.count("*").alias("sample_count"))
     return drawn.crossJoin(F.broadcast(drawn.agg(F.sum("sample_count").alias("m"))))  # one row
 
 

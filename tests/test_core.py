@@ -260,6 +260,14 @@ def test_samples_hold_their_size_and_are_exact_when_all_fits(spark):
     assert sum(r["sample_count"] for r in drawn) == 7 == drawn[0]["m"]
 
 
+def test_reservoir_of_tied_units_repeats(spark):
+    """Rows of one place give units of equal hash; those of the smallest keys are kept."""
+    rows = [(k, 3, 7) for k in "dbca"]
+    for order in (rows, rows[::-1]):
+        tied = spark.createDataFrame(order, "key string, weight long, ord long").repartition(3)
+        assert {r["key"]: r["sample_count"] for r in sampling.reservoir(tied, 6).collect()} == {"a": 2, "b": 2, "c": 1, "d": 1}
+
+
 def test_samples_are_about_unbiased(spark):
     stream = make(spark, [("heavy", 3000), ("light", 1000)])
     concise = sampling.averaged(sampling.concise_estimates(sampling.concise(stream, 500, sampling.SEEDS)), 5)
