@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,14 +223,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _usable() -> Column:
+    """Whether a row can link at all."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0)
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
     """``node`` (the smallest vec_id), ``label``, ``embedding``, ``copies``: the
     distinct vectors that can link at all, equal ones collapsed."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0)
     return (
         vectors.select("vec_id", "label", "embedding")
-        .filter(usable)
+        .filter(_usable())
         .groupBy("label", "embedding")
         .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     )
@@ -424,7 +428,8 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, settings: Settings
     )
     marks = [F.xxhash64(F.lit(s), "label", "embedding").alias(f"mark{s}") for s in (1, 2)]
     linked = scratch.keep(per_node.filter("n_links > 0").select(*marks, "n_links", "component_id"), "linked")
-    rows = vectors.select("vec_id", *marks)
+    # The hash passes over null components, so rows that can't link get no mark.
+    rows = vectors.select("vec_id", *(F.when(_usable(), mark).alias(f"mark{s}") for s, mark in zip((1, 2), marks)))
     own = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component_id")), F.col("vec_id"))
     return rows.join(linked, ["mark1", "mark2"], "left").select(
         "vec_id",
