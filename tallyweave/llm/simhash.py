@@ -120,16 +120,25 @@ def _masked_links(values: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(root != np.arange(len(root))), root[root != np.arange(len(root))]], axis=1)
 
 
-def links(fps: DataFrame, scratch: Scratch, distance: int = 2, long_list: int = 64, groups: int = 8) -> DataFrame:
+def _close_pairs(values: np.ndarray, distance: int) -> np.ndarray:
+    """All links (a, b) of a short list, as places in it."""
+    apart = np.bitwise_count(values[:, None] ^ values[None, :])
+    return np.argwhere(np.triu(apart <= distance, 1))
+
+
+def links(fps: DataFrame, scratch: Scratch, distance: int = 2, long_list: int = 64, direct: int = 32) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp``: enough of those at
     ``distance`` bits or fewer (2 at most) to keep what is connected connected.
 
     Lists of the index up to ``long_list`` entries give pairs; a pair needs
     8 - distance shared positional bytes, counts in one list alone, and is
     verified. A longer list, such as that of thousands of near copies, would give
-    pairs with the square of its length: its entries are grouped instead by what
-    is left under each mask of two of the 32 bits that the term leaves open
-    (496 masks, dealt to ``groups`` tasks), which finds the same links exactly.
+    pairs with the square of its length. Its fingerprints are listed anew instead,
+    by the least that a link must share: each six of the eight positional bytes. Two
+    bytes are left open, so no list holds more than 65,536 fingerprints, however many
+    documents are near copies. Lists up to ``direct`` are compared pair by pair;
+    in others, fingerprints that agree outside a mask of two of the 16 open bits (120
+    masks) are linked, which finds the same components without pairs.
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
@@ -151,24 +160,38 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 2, long_list: int =
         )
         .select(a.alias("a"), b.alias("b"))
     )
-
-    def of_long_list(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        term, _, group = (int(x) for x in key)
-        kept = list(combinations(range(4), 2))[term]
-        open_bits = [16 * i + k for i in range(4) if i not in kept for k in range(16)]
-        sets = list(combinations(open_bits, distance))[group::groups]
-        masks = np.array([sum(1 << k for k in bits) for bits in sets], np.uint64)
-        values = np.sort(rows["fp"].to_numpy(np.int64)).view(np.uint64)
-        found = _masked_links(values, masks)
-        return pd.DataFrame({"a": values[found[:, 0]].view(np.int64), "b": values[found[:, 1]].view(np.int64)})
-
-    long = (
-        index.filter(F.col("n") > long_list)
-        .withColumn("group", F.explode(F.array(*map(F.lit, range(groups)))))
-        .groupBy("term", "bytes", "group")
-        .applyInPandas(of_long_list, "a long, b long")
+    open_bytes = list(combinations(range(BYTES), 2))
+    open_masks = np.array([255 << (8 * i) | 255 << (8 * j) for i, j in open_bytes], np.uint64)
+    kept = F.array(
+        *(
+            F.struct(F.lit(n).alias("open"), F.col("fp").bitwiseAND(F.lit(int(~mask.view(np.int64)))).alias("rest"))
+            for n, mask in enumerate(open_masks)
+        )
+    )
+    long = index.filter(F.col("n") > long_list).select("fp").distinct()
+    lists = (
+        long.select("fp", F.explode(kept).alias("k"))
+        .groupBy("k.open", "k.rest")
+        .agg(F.collect_list("fp").alias("fps"))
+        .filter(F.size("fps") > 1)
+        .select("open", "fps")
     )
-    return pairs.unionByName(long)
+
+    def of_lists(batches):
+        masks = []
+        for i, j in open_bytes:
+            bits = [8 * i + k for k in range(8)] + [8 * j + k for k in range(8)]
+            masks.append(np.array([sum(1 << k for k in some) for some in combinations(bits, distance)], np.uint64))
+        for rows in batches:
+            parts = []
+            for which, found in zip(rows["open"], rows["fps"], strict=True):
+                values = np.sort(np.asarray(found, np.int64)).view(np.uint64)
+                near = _close_pairs(values, distance) if len(values) <= direct else _masked_links(values, masks[which])
+                parts.append(values[near])
+            every = np.concatenate(parts).view(np.int64) if parts else np.zeros((0, 2), np.int64)
+            yield pd.DataFrame({"a": every[:, 0], "b": every[:, 1]})
+
+    return pairs.unionByName(lists.mapInPandas(of_lists, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, distance: int = 2, width: int = 3) -> DataFrame:

@@ -186,6 +186,12 @@ def test_vectors_equal_brute_force(spark, settings_):
     assert {r["audited_recall"] for r in found} == {1.0}
 
 
+def test_unusable_vectors_take_no_links_of_others(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [None, 1.0, 0.0], 0), (4, [1.0, None, 0.0], 0), (5, [1.0, -0.0], 0), (6, [1.0, 0.0], None)]
+    found = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), spark).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (5, 2, 1), (6, 0, 6)]
+
+
 def test_no_vectors(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), spark).count() == 0
 
@@ -515,6 +521,18 @@ def test_links_equal_brute_force(spark, long_list, groups, distance):
     assert union_find(len(values), [(place[r["a"]], place[r["b"]]) for r in found]) == expected
 
 
+def test_links_of_many_near_copies(spark):
+    """Lists far beyond the direct comparison, one of them full in both open bytes."""
+    rng = random.Random(3)
+    center = rng.getrandbits(62)
+    values = {center ^ x for x in range(1 << 12)} | {center ^ x << 40 for x in range(1 << 9)} | {center ^ sum(1 << b for b in rng.sample(range(62), 5)) for _ in range(60)}
+    values = sorted(values)
+    place = {v: i for i, v in enumerate(values)}
+    near = [(i, place[w]) for v, i in place.items() for a in range(62) for b in range(a + 1) if (w := v ^ (1 << a | 1 << b)) in place]
+    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), _shared.Scratch(spark, "test")).collect()
+    assert union_find(len(values), [(place[r["a"]], place[r["b"]]) for r in found]) == union_find(len(values), near)
+
+
 # --- 10 media ----------------------------------------------------------------------------------------------------
 
 
