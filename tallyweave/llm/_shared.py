@@ -115,6 +115,22 @@ def running_sums(
     )
 
 
+def join_copies(rows: DataFrame, found: DataFrame, keys: Sequence[str], copies: str, scratch: Scratch) -> DataFrame:
+    """``rows`` with the columns of ``found`` (one row for each key), as a left join.
+
+    ``copies`` says how many rows a key of ``found`` has. Keys with over a thousandth
+    of all these rows, of which there are fewer than a thousand, are broadcast, so the
+    rows of a large group of copies stay where they are; only the others are shuffled.
+    """
+    keys = list(keys)
+    total = found.agg(F.sum(copies).alias("_total"))  # one row
+    large = found.crossJoin(F.broadcast(total)).filter(F.col(copies) * 1000 > F.col("_total"))
+    hot = scratch.keep(large.drop("_total", copies).withColumn("_hot", F.lit(True)), "hot", files_a_core=1)
+    met = rows.join(F.broadcast(hot), keys, "left")
+    rest = met.filter("_hot IS NULL").select(*rows.columns).join(found.drop(copies), keys, "left")
+    return met.filter("_hot").drop("_hot").unionByName(rest)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of links ``(a, b)``: one row ``(node, root)`` for each
     node of a link, root being the smallest node of its component.

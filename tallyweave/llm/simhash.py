@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm._shared import Scratch, components
+from tallyweave.llm._shared import Scratch, components, join_copies
 
 BITS, BYTES = 64, 8
 #: Seed of the shingle hash.
@@ -204,17 +204,17 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, distance: int = 2, wid
     """
     scratch = Scratch(spark, "simhash")
     rows = scratch.hold(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")))
-    classes = scratch.hold(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = scratch.hold(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     edges = scratch.keep(links(classes.select("fp"), scratch, distance), "links")
     roots = scratch.keep(components(edges, scratch).withColumnRenamed("node", "fp"), "roots")
     joined = roots.join(classes, "fp")
     tops = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = joined.select("fp", "root").join(tops, "root").select("fp", "component_id")
     final = scratch.keep(
-        classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")),
+        classes.join(moved, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")),
         "final",
     )
-    return rows.join(final, "fp").select("doc_id", "fp", "component_id")
+    return join_copies(rows, final, ["fp"], "copies", scratch).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, spark: SparkSession, distance: int = 2) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm._shared import Scratch, components
+from tallyweave.llm._shared import Scratch, components, join_copies
 
 
 @dataclass(frozen=True)
@@ -421,17 +421,19 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, settings: Settings
         nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
         .join(roots, "node", "left")
         .select(
-            "label", "embedding", "node",
+            "label", "embedding", "node", "copies",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("root", "node").alias("component_id"),
         )
     )
     marks = [F.xxhash64(F.lit(s), "label", "embedding").alias(f"mark{s}") for s in (1, 2)]
-    linked = scratch.keep(per_node.filter("n_links > 0").select(*marks, "n_links", "component_id"), "linked")
-    # The hash passes over null components, so rows that can't link get no mark.
-    rows = vectors.select("vec_id", *(F.when(_usable(), mark).alias(f"mark{s}") for s, mark in zip((1, 2), marks)))
+    linked = scratch.keep(per_node.filter("n_links > 0").select(*marks, "copies", "n_links", "component_id"), "linked")
+    # The hash passes over null components: rows that can't link get marks of their own.
+    own_marks = [F.xxhash64(F.lit(-n), F.monotonically_increasing_id()) for n in (1, 2)]
+    known = (F.when(_usable(), mark).otherwise(other).alias(f"mark{n}") for n, mark, other in zip((1, 2), marks, own_marks))
+    rows = scratch.hold(vectors.select("vec_id", *known))
     own = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component_id")), F.col("vec_id"))
-    return rows.join(linked, ["mark1", "mark2"], "left").select(
+    return join_copies(rows, linked, ["mark1", "mark2"], "copies", scratch).select(
         "vec_id",
         F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         own.alias("component_id"),

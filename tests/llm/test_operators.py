@@ -90,6 +90,16 @@ def test_components(spark, kind):
     assert {r["node"]: r["root"] for r in found.collect()} == {x: expected[x] for pair in links if pair[0] != pair[1] for x in pair}
 
 
+def test_join_copies_is_a_left_join(spark):
+    keys = [k for k in range(3000)] + [7] * 2000 + [8] * 3
+    rows = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
+    copies = Counter(keys)
+    found = spark.createDataFrame([(k, k * 2, copies[k]) for k in range(2900)], "k long, v long, n long")
+    joined = _shared.join_copies(rows, found, ["k"], "n", _shared.Scratch(spark, "test"))
+    assert joined.columns == ["k", "id", "v"]
+    assert rows_of(joined, "id", "k", "v") == sorted(((i, k, 2 * k if k < 2900 else None) for i, k in enumerate(keys)), key=repr)
+
+
 def test_redaction_covers_overlaps():
     assert _spans.cover("abcdefghij", [("x", 1, 4), ("y", 2, 6), ("z", 8, 9)], "#") == "a#gh#j"
     assert _spans.cover("abc", [], "#") == "abc" and _spans.cover("abc", [("x", 0, 3)], "#") == "#"
