@@ -2,14 +2,13 @@
 
 The CRF labels white-space tokens by their word shapes and those of their
 neighbours. It is trained here, on a small labelled table, and decoded by Viterbi
-over padded numpy batches. Only lines with a digit or an at sign hold what it can
-label; of these it sees each such token and ``REACH`` tokens to either side.
+over padded numpy batches, each line of a text from its first token to its last.
 """
 
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +28,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("O", "email", "ip", "card", "phone", "id")
 KINDS = (*BASE, *(f"crf_{x}" for x in LABELS[1:]))
-#: Tokens of context on either side of a token with a digit or an at sign.
-REACH = 3
+#: Tokens that are decoded together, and tokens whose features are remembered.
+HELD, KNOWN = 1 << 18, 1 << 17
 
 
 def _digits(text: str) -> list[int]:
@@ -139,24 +138,46 @@ _EDGE = "()[]{}<>\"',;:!?"
 _CUES = frozenset("at dot call phone tel fax mail card pay ssn id account social security number host server ip isbn page version licence license section".split())
 
 
-@cache
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(1 << 16)
 def _shapes(token: str) -> tuple[str, str]:
     """Word shape, runs collapsed, and the same with lengths of digit runs."""
-    marks = re.sub(r"[^\W\d_]+", "x", token[:64])
+    marks = _LETTERS.sub("x", token[:64])
     return re.sub(r"[0-9]+", "d", marks), re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 17)}", marks)
 
 
-def features(tokens: list[str], at: int) -> list[str]:
-    token = tokens[at].rstrip(".").strip(_EDGE)
+STEPS = (-2, -1, 1, 2)
+
+
+def _own(whole: str) -> list[str]:
+    """Features of a token itself."""
+    token = whole.rstrip(".").strip(_EDGE)
     short, long = _shapes(token)
-    digits = sum("0" <= c <= "9" for c in tokens[at])
-    out = ["bias", f"s={short}", f"l={long}", f"n={min(digits, 20)}", f"a={token.count('@')}{'.' in token.partition('@')[2]}{min(token.count('.'), 4)}{token[:1] == '+'}", f"at={'@' in token and '.' in token.partition('@')[2]}", f"w={token.lower() if token.lower() in _CUES else ''}"]
-    for step in (-2, -1, 1, 2):
-        if 0 <= at + step < len(tokens):
-            near = tokens[at + step].rstrip(".").strip(_EDGE)
-            out += [f"{step}s={_shapes(near)[1 if abs(step) == 1 else 0]}", f"{step}w={near.lower() if near.lower() in _CUES else ''}"]
-        else:
-            out.append(f"{step}none")
+    digits = sum("0" <= c <= "9" for c in whole)
+    return ["bias", f"s={short}", f"l={long}", f"n={min(digits, 20)}", f"a={token.count('@')}{'.' in token.partition('@')[2]}{min(token.count('.'), 4)}{token[:1] == '+'}", f"at={'@' in token and '.' in token.partition('@')[2]}", f"w={token.lower() if token.lower() in _CUES else ''}"]
+
+
+def _near(whole: str | None, step: int) -> list[str]:
+    """Features that a token (None: the line's end) gives to the one it is ``step`` from."""
+    if whole is None:
+        return [f"{step}none"]
+    near = whole.rstrip(".").strip(_EDGE)
+    return [f"{step}s={_shapes(near)[1 if abs(step) == 1 else 0]}", f"{step}w={near.lower() if near.lower() in _CUES else ''}"]
+
+
+def _plain(token: str) -> str:
+    """A token of the same features, one for many: runs of letters matter as cues only."""
+    if len(token) > 64 or token.rstrip(".").strip(_EDGE).lower() in _CUES:
+        return token
+    return _LETTERS.sub("x", token)
+
+
+def features(tokens: list[str], at: int) -> list[str]:
+    out = _own(tokens[at])
+    for step in STEPS:
+        out += _near(tokens[at + step] if 0 <= at + step < len(tokens) else None, step)
     return out
 
 
@@ -168,6 +189,7 @@ class ChainCrf:
         tokens = [g["token"].tolist() for g in sentences]
         self.ids: dict[str, int] = {}
         self.k = len(LABELS)
+        self.known: dict[str, int] = {}
         named = [[[self.ids.setdefault(f, len(self.ids)) for f in features(t, i)] for i in range(len(t))] for t in tokens]
         gold = [np.array([LABELS.index(x) for x in g["label"]]) for g in sentences]
         long, n = max(map(len, tokens)), len(tokens)
@@ -198,6 +220,9 @@ class ChainCrf:
             past_m += grad_m**2
             self.weights += rate * grad_w / np.sqrt(past_w)
             self.moves += rate * grad_m / np.sqrt(past_m)
+        self.rows: dict[tuple[tuple[int, ...], ...], int] = {}
+        self.tables: list[list[np.ndarray]] = []
+        self._kind(None)
 
     def _expected(self, scores: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward-backward: chances of labels, and expected counts of label pairs."""
@@ -223,68 +248,84 @@ class ChainCrf:
             pairs += (np.exp(np.minimum(joint, 0)) * inside[:, t + 1, None, None]).sum(axis=0)
         return chance, pairs
 
-    def scores(self, tokens: list[str]) -> np.ndarray:
-        lists = [[self.ids[f] for f in features(tokens, i) if f in self.ids] for i in range(len(tokens))]
-        return np.stack([self.weights[x].sum(axis=0) for x in lists])
+    def _kind(self, token: str | None) -> int:
+        """The row of ``tables`` for a token. Tokens with the same known features share
+        one, so there are no more rows than the trained features allow."""
+        lists = [_own(token) if token is not None else [], *(_near(token, step) for step in STEPS)]
+        known = tuple(tuple(self.ids[f] for f in x if f in self.ids) for x in lists)
+        if known not in self.rows:
+            self.rows[known] = len(self.rows)
+            self.tables.append([self.weights[list(x)].sum(axis=0) for x in known])
+        return self.rows[known]
+
+    def _kinds(self, tokens: list[str]) -> list[int]:
+        known = self.known
+        try:
+            return [known[t] for t in tokens]
+        except KeyError:
+            if len(known) > KNOWN:
+                known.clear()
+            for t in tokens:
+                if t not in known:
+                    plain = _plain(t)
+                    if plain not in known:
+                        known[plain] = self._kind(plain)
+                    known[t] = known[plain]
+            return [known[t] for t in tokens]
+
+    def scores(self, sequences: list[list[int]]) -> np.ndarray:
+        """Label scores (sequence, token, label), padded, from rows of ``tables``."""
+        long = max(map(len, sequences))
+        rows = np.zeros((len(sequences), long + 4), np.int32)  # row 0: the end
+        for row, kinds in zip(rows, sequences, strict=True):
+            row[2 : 2 + len(kinds)] = kinds
+        tables = np.array(self.tables)
+        out = tables[rows[:, 2:-2], 0]
+        for i, step in enumerate(STEPS, 1):
+            out += tables[rows[:, 2 + step : 2 + step + long], i]
+        return out
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Best labels of a padded batch (sequence, token, label); equal paths: the
         lower label. Labels after a sequence's end mean nothing."""
         n, long, k = scores.shape
-        best, came = scores[:, 0], np.zeros((n, long, k), np.int8)
+        best, came = scores[:, 0], np.zeros((long, n, k), np.int8)
+        least = lengths.min()
         for t in range(1, long):
-            step = best[:, :, None] + self.moves
-            came[:, t] = step.argmax(axis=1)
-            new = step.max(axis=1) + scores[:, t]
-            more = (t < lengths)[:, None]
-            best = np.where(more, new, best)
-            came[:, t] = np.where(more, came[:, t], np.arange(k))
+            new, here = best[:, :1] + self.moves[0], came[t]
+            for a in range(1, k):
+                step = best[:, a : a + 1] + self.moves[a]
+                here[step > new] = a
+                np.maximum(new, step, out=new)
+            new += scores[:, t]
+            if t >= least:
+                over = t >= lengths
+                new[over], here[over] = best[over], np.arange(k)
+            best = new
         labels = np.empty((n, long), np.int8)
         labels[:, -1] = best.argmax(axis=1)
         rows = np.arange(n)
         for t in range(long - 1, 0, -1):
-            labels[:, t - 1] = came[rows, t, labels[:, t]]
+            labels[:, t - 1] = came[t, rows, labels[:, t]]
         return labels
 
-    def decode(self, sequences: list[list[str]], batch: int = 256) -> list[np.ndarray]:
-        """Labels of each sequence; sequences of like length share a batch."""
+    def decode(self, sequences: list[list[str]], batch: int = 32768) -> list[np.ndarray]:
+        """Labels of each sequence; sequences of like length share a batch of about
+        ``batch`` tokens."""
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(sequences)
-        order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            lengths = np.array([len(sequences[i]) for i in part])
-            padded = np.zeros((len(part), lengths[-1], self.k))
-            for row, i in enumerate(part):
-                padded[row, : lengths[row]] = self.scores(sequences[i])
-            for i, size, labels in zip(part, lengths, self.viterbi(padded, lengths), strict=True):
+        kinds = [self._kinds(x) for x in sequences]
+        order = sorted((i for i, x in enumerate(kinds) if x), key=lambda i: -len(kinds[i]))
+        at = 0
+        while at < len(order):
+            part = order[at : at + max(1, batch // len(kinds[order[at]]))]
+            at += len(part)
+            lengths = np.array([len(kinds[i]) for i in part])
+            for i, size, labels in zip(part, lengths, self.viterbi(self.scores([kinds[i] for i in part]), lengths), strict=True):
                 out[i] = labels[:size]
         return out
 
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_MARK = re.compile(r"[0-9@]")
-
-
-def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans of the stretches that the CRF labels."""
-    out: list[list[tuple[int, int]]] = []
-    at = 0
-    while found := _MARK.search(text, at):
-        first = text.rfind("\n", 0, found.start()) + 1
-        last = text.find("\n", found.start())
-        last = len(text) if last < 0 else last
-        tokens = [m.span() for m in _TOKEN.finditer(text, first, last)]
-        marked = [i for i, (a, b) in enumerate(tokens) if _MARK.search(text, a, b)]
-        start = end = -1
-        for i in marked:
-            if end < 0 or i - REACH > end:
-                if end >= 0:
-                    out.append(tokens[start : min(end, len(tokens))])
-                start = max(0, i - REACH)
-            end = i + REACH + 1
-        out.append(tokens[start : min(end, len(tokens))])
-        at = last
-    return out
 
 
 class Finder:
@@ -295,12 +336,23 @@ class Finder:
 
     def find_all(self, texts: list[str]) -> list[list[Span]]:
         spans = [base_spans(x) for x in texts]
-        where = [(n, w) for n, x in enumerate(texts) for w in windows(x)]
-        for at in range(0, len(where), 4096):
-            part = where[at : at + 4096]
-            labels = self.model.decode([[texts[n][a:b] for a, b in w] for n, w in part])
-            for (n, w), found in zip(part, labels, strict=True):
-                spans[n] += self._runs(texts[n], w, found)
+        where: list[tuple[int, int, str]] = []
+        tokens: list[list[str]] = []
+        held = 0
+        for n, text in enumerate(texts):
+            at = 0
+            for line in text.split("\n"):
+                if words := _TOKEN.findall(line):
+                    where.append((n, at, line))
+                    tokens.append(words)
+                    held += len(words)
+                at += len(line) + 1
+            if held > HELD or n == len(texts) - 1:
+                for (i, start, line), labels in zip(where, self.model.decode(tokens), strict=True):
+                    if labels.any():
+                        ends = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(line)]
+                        spans[i] += self._runs(texts[i], ends, labels)
+                where, tokens, held = [], [], 0
         return [_spans.in_order(x, KINDS) for x in spans]
 
     @staticmethod
@@ -317,7 +369,7 @@ class Finder:
                     start += 1
                 while end > start and text[end - 1] in "]}>\"',;:!?.":
                     end -= 1
-                if _MARK.search(text, start, end):
+                if start < end:
                     out.append((f"crf_{LABELS[labels[i]]}", start, end))
             i = j
         return out

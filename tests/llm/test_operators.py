@@ -478,6 +478,25 @@ def test_personal_query(spark, docs, empty):
     assert empty.select(pii.personal_spans(F.col("text"))).count() == 0
 
 
+def test_whole_lines_are_decoded(spark):
+    finder = pii.Finder()
+    for text, address in (("please write to jane at mailer dot com before noon", "jane at mailer dot com"), ("the and of\nwrite to jane at mailer dot com", "jane at mailer dot com"), ("page 12: contact jane at mailer dot com for details", "jane at mailer dot com")):
+        assert [text[a:b] for k, a, b in finder.find_all([text])[0] if k == "crf_email"] == [address]
+    row = spark.createDataFrame([("mail me at jane at mailer dot com, thanks",)], "text string").select(pii.without_personal(F.col("text"), finder=finder).alias("t"))
+    assert "mailer" not in row.first()["t"]
+    # The labels are those of the best path by the plain features, at any length and in any batch.
+    model, rng = finder.model, random.Random(5)
+    parts = ["x", "at", "dot", "(at)", "Jane", "com,", "a.b@c.org", "12", "1.2.3.4", "123-45-6789", "+1", "é²٣", "_", "...", "a" * 70 + "1", "card", "4111", "ssn", "wx_yz9"]
+    lines = [[rng.choice(parts) for _ in range(rng.choice([1, 2, 3, 9, 40, 300]))] for _ in range(60)]
+    for line, found in zip(lines, model.decode(lines, batch=500), strict=True):
+        scores = np.stack([model.weights[[model.ids[f] for f in pii.features(line, i) if f in model.ids]].sum(axis=0) for i in range(len(line))])
+        path = lambda labels: sum(scores[i, a] for i, a in enumerate(labels)) + sum(model.moves[a, b] for a, b in zip(labels, labels[1:]))
+        best = scores[0]
+        for x in scores[1:]:
+            best = (best[:, None] + model.moves).max(axis=0) + x
+        assert abs(path(found) - best.max()) < 1e-6
+
+
 # --- 9 simhash ------------------------------------------------------------------------------------------------
 
 
