@@ -13,6 +13,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, EPOCHS = 1.5, 2
 #: Equal steps of virtual time that the queue is range-sorted by.
 STEPS = 4096
+#: Steps of virtual time after 1, for each doubling of it.
+LATE_STEPS = 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -45,17 +47,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def _queued(docs: DataFrame, size: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _queued(docs: DataFrame, size: Column, scratch: Scratch, tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Each document with ``before``, the words of its source that are queued ahead
-    of it in the shuffled order, and its source's size and target; and the targets."""
+    of it in the shuffled order, and its source's size and target; and the targets.
+    Documents of one id queue by ``tie``, or else by size."""
+    ties = [] if tie is None else [tie.alias("tie")]
     sizes = scratch.hold(
-        docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"))
+        docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"), *ties)
     )
     targets = scratch.keep(source_targets(sizes), "targets")
     name, unnamed = F.coalesce("source", F.lit("")).alias("source"), F.isnull("source").alias("unnamed")
     order = hex_order(F.col("doc_id"))
-    rows = sizes.select("row", "doc_id", "size", name, unnamed, order.alias("order"), F.substring(order, 1, 3).alias("bucket"))
-    queued = running_sums(rows, ["source", "unnamed"], "bucket", ["order", "doc_id", "size", "row"], {"size": "before"})
+    by = "size" if tie is None else "tie"
+    rows = sizes.select("row", "doc_id", "size", *[by][: len(ties)], name, unnamed, order.alias("order"), F.substring(order, 1, 3).alias("bucket"))
+    queued = running_sums(rows, ["source", "unnamed"], "bucket", ["order", "doc_id", by, "row"], {"size": "before"})
     return queued.join(targets.select(name, unnamed, "source_size", "target"), ["source", "unnamed"]), targets
 
 
@@ -107,27 +112,49 @@ def fair_mix(docs: DataFrame, spark: SparkSession, size: Column | None = None) -
 def mixed_documents(docs: DataFrame, spark: SparkSession, size: Column | None = None) -> DataFrame:
     """The documents of the mix, each as often as it is used, with all their columns.
 
-    Documents are never cut: of each source the one in service at the end is used
-    whole, so a source may exceed its target by less than that document. What to use
-    is told by where each source's queue is cut, one row for each source, so texts are
-    not shuffled.
+    The queue is that of ``fair_mix``, but documents are never cut: a use's virtual
+    finish time counts the whole document, uses are range-sorted by it, and the one in
+    service where the mix reaches all targets together is the last, used whole. So the
+    mix exceeds its budget by less than that document, and a source differs from its
+    target by what is left or ahead of its documents. Sources without any word give
+    each document once.
+
+    A source's uses are the first of its queue, so what to use is told by where each
+    source's queue is cut, one row for each source, and texts are not shuffled. Rows
+    that are equal in all columns are not told apart there: they are used alike.
+
+    Steps of virtual time are equal up to 1; later ones, which only large documents of
+    small targets leave to be used, grow with it, so there are few of them.
     """
     scratch = Scratch(spark, "mixed")
-    queued, _ = _queued(docs, word_count(F.col("text")) if size is None else size, scratch)
-    budget = F.floor("target")
-    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(1).cast("int")
-    last = F.max(F.when(F.col("before") < budget - whole * F.col("source_size"), F.struct("order", "doc_id")))
+    tie = F.xxhash64(*(docs[c] for c in docs.columns))
+    queued, targets = _queued(docs, word_count(F.col("text")) if size is None else size, scratch, tie)
+    start = F.col("before") + F.col("epoch") * F.col("source_size")
+    finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).otherwise(F.col("epoch").cast("double"))
+    uses = scratch.hold(
+        queued.drop("bucket")
+        .withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
+        .filter("target > 0 OR epoch = 0")
+        .withColumn("finish", finish)
+    )
+    late = F.lit(STEPS) + (F.log2(F.greatest(F.col("finish"), F.lit(1.0))) * LATE_STEPS).cast("int")
+    step = F.when(F.col("finish") < 1, (F.col("finish") * STEPS).cast("int")).otherwise(late)
+    order = ["finish", "source", "unnamed", "epoch", "order", "doc_id", "tie", "row"]
+    placed = running_sums(uses.select("*", F.lit(0).alias("mix"), step.alias("step")), ["mix"], "step", order, {"size": "ahead"})
+    whole = targets.agg(F.round(F.sum("target"), 3).alias("budget"))  # one row
+    taken = placed.crossJoin(F.broadcast(whole)).filter("ahead < budget OR target = 0")
     cuts = scratch.keep(
-        queued.groupBy("source", "unnamed").agg(F.min(whole).alias("whole"), last.alias("last")), "cuts"
-    ).select(*(F.col(c).alias(f"_cut_{c}") for c in ("source", "unnamed", "whole", "last")))
-    own = F.struct(hex_order(docs["doc_id"]).alias("order"), docs["doc_id"].alias("doc_id"))
-    more = F.when(F.col("_cut_last").isNotNull() & (own <= F.col("_cut_last")), 1).otherwise(0)
+        taken.groupBy("source", "unnamed").agg(F.max(F.struct("epoch", "order", "doc_id", "tie")).alias("last")), "cuts"
+    ).select(*(F.col(c).alias(f"_cut_{c}") for c in ("source", "unnamed", "last")))
+    last = F.col("_cut_last")
+    own = F.struct(hex_order(docs["doc_id"]).alias("order"), docs["doc_id"].alias("doc_id"), tie.alias("tie"))
+    more = F.when(own <= F.struct(last["order"].alias("order"), last["doc_id"].alias("doc_id"), last["tie"].alias("tie")), 1).otherwise(0)
     return (
         docs.join(
             cuts,
             (F.coalesce(docs["source"], F.lit("")) == F.col("_cut_source")) & (F.isnull(docs["source"]) == F.col("_cut_unnamed")),
         )
-        .withColumn("_cut_uses", F.array_repeat(F.lit(0), F.least(F.col("_cut_whole") + more, F.lit(EPOCHS))))
+        .withColumn("_cut_uses", F.array_repeat(F.lit(0), last["epoch"] + more))
         .select(*(docs[c] for c in docs.columns), F.explode("_cut_uses").alias("_cut_use"))
         .drop("_cut_use")
     )

@@ -418,6 +418,34 @@ def test_mixed_documents_are_whole_and_near_their_targets(spark, docs, empty):
     assert mixing.mixed_documents(empty, spark).count() == 0
 
 
+def test_mixed_documents_hold_the_budget_of_many_small_sources(spark):
+    for n in (60, 61):
+        docs = spark.createDataFrame([(i, f"w{i} " + "w " * 99, f"s{i:03d}") for i in range(n)], "doc_id long, text string, source string")
+        used = mixing.mixed_documents(docs, spark).count() * 100
+        assert 150 * n <= used < 150 * n + 100
+    # A use out of the plain queue: whole documents by finish time, until the targets together are reached.
+    rng = random.Random(3)
+    rows = [(i if i % 7 else 5, f"w{i} " + "w " * rng.choice([0, 3, 40, 900]), rng.choice(["a", "b", None, "c", "d"])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ties = {r["text"]: r["tie"] for r in docs.select("text", F.xxhash64("doc_id", "text", "source").alias("tie")).collect()}
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(words(text))
+    targets, uses = plain_targets(sizes), []
+    for s, target in targets.items():
+        at = 0
+        for epoch in range(2):
+            for order, i, tie, text in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, ties[text], text) for i, text, source in rows if source == s):
+                at += len(words(text))
+                uses.append((at / target, s or "", s is None, epoch, order, i, tie, text))
+    expected, ahead = Counter(), 0
+    for use in sorted(uses):
+        if ahead < round(sum(targets.values()), 3):
+            expected[use[-1]] += 1
+        ahead += len(words(use[-1]))
+    assert Counter(r["text"] for r in mixing.mixed_documents(docs, spark).collect()) == expected
+
+
 # --- 8 personal data ----------------------------------------------------------------------------------------
 
 _PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
