@@ -1,3 +1,4 @@
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -31,12 +32,21 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert sorted(map(str, (tuple(r[c] for c in names) for r in found.collect()))) == sorted(map(str, expected))
 
 
-def test_works_without_the_optional_parts(tmp_path):
-    """As if the folder of the pipeline operators and its entry file were deleted."""
-    (tmp_path / "__spark_entry__.py").write_text((ROOT / "__spark_entry__.py").read_text())
-    (tmp_path / "tallyweave").mkdir()
-    for part in (ROOT / "tallyweave").iterdir():
-        if part.name != "llm":
-            (tmp_path / "tallyweave" / part.name).symlink_to(part)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'exact_topk' in q and 'pipeline' not in q and not any(x.startswith('op') for x in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+@pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
+def test_works_without_the_optional_parts(tmp_path, also):
+    """A copy of the repository less the two folders of the pipeline operators, with the
+    pipeline's file and without it, still has its queries, entry and oracles."""
+    there = tmp_path / "repo"
+    shutil.copytree(ROOT, there, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse"))
+    shutil.rmtree(there / "tallyweave" / "llm")
+    shutil.rmtree(there / "tests" / "llm")
+    for name in also:
+        (there / name).unlink()
+    code = (
+        "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and 'exact_topk' in q and 'pipeline' not in q"
+        " and not any(x.startswith('op') for x in q)"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=there, check=True)
+    if not also:
+        rest = "test_entry_has_rows or test_oracles_belong"
+        subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_entry.py", "-k", rest], cwd=there, check=True)
