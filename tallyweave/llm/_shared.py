@@ -10,10 +10,12 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,11 +24,14 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests,
-    a laptop) a temporary folder of this process, removed when it ends."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset in local mode
+    (tests, a laptop) a temporary folder of this process, removed when it ends. A
+    cluster must name one: a folder of one machine is none that its executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="tallyweave-"))
         atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
@@ -34,18 +39,37 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables of one run of an operator."""
+    """Intermediate tables of one run of an operator. What an operator returns reads
+    them, so they stay until ``release``, which a caller may use once results are stored."""
+
+    _open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.folder = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
         self._numbers = itertools.count()
+        self._held: list[DataFrame] = []
+        Scratch._open.append(self)
+
+    @classmethod
+    def release(cls, *but: Scratch) -> None:
+        """Frees the held blocks and deletes the tables of all runs so far, less ``but``."""
+        for one in [x for x in cls._open if x not in but]:
+            cls._open.remove(one)
+            for df in one._held:
+                df.unpersist()
+            one._delete(one.folder)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def hold(self, df: DataFrame) -> DataFrame:
         """Keeps what is read more than once on the executors' disks. A block that is
         lost with its executor is computed again, so this suits tables one step away
         from an input or a shuffle; it does not cut lineage."""
-        return df.persist(StorageLevel.DISK_ONLY)
+        self._held.append(df.persist(StorageLevel.DISK_ONLY))
+        return self._held[-1]
 
     def keep(self, df: DataFrame, name: str = "t", files_a_core: int | None = 2) -> DataFrame:
         """Writes a table to the shared folder and reads it back, which cuts lineage.
@@ -64,10 +88,7 @@ class Scratch:
         for df in kept:
             path = getattr(df, "_tallyweave_path", None)
             if path:
-                jvm = self.spark._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                conf = self.spark._jsc.hadoopConfiguration()
-                target.getFileSystem(conf).delete(target, True)
+                self._delete(path)
 
 
 def word_count(text: Column) -> Column:
@@ -80,6 +101,28 @@ def hex_order(column: Column) -> Column:
     return F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
+def row_marks(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, which tell rows apart by all their columns."""
+    cells = [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else df[f"`{f.name}`"] for f in df.schema]
+    nulls = F.array(*(F.isnull(c) for c in cells)) if cells else F.lit(0)  # the hash passes over nulls
+    return [F.xxhash64(F.lit(seed), nulls, *cells) for seed in (1, 2)]
+
+
+def ranked_sums(df: DataFrame, order: Sequence[Column], values: dict[str, str], scratch: Scratch) -> DataFrame:
+    """Exclusive running sums over a whole table in an order without ties, for tables
+    without a bucket that refines it: rows are range-sorted, each range is summed in its
+    own task, and only one row for each range (of the session's shuffle partitions) meets
+    in one window."""
+    place = F.spark_partition_id().alias("_range")
+    ranged = scratch.hold(df.repartitionByRange(*order).select("*", place))
+    totals = ranged.groupBy("_range").agg(*(F.sum(v).alias(v) for v in values))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_start_{v}") for v in values))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ((F.col(f"_start_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(out) for v, out in values.items())
+    return ranged.join(F.broadcast(starts), "_range").select(*df.columns, *sums)  # one row for each range
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -115,14 +158,43 @@ def running_sums(
     )
 
 
-def join_copies(rows: DataFrame, found: DataFrame, keys: Sequence[str], copies: str, scratch: Scratch) -> DataFrame:
+class WordFilter:
+    """A Bloom filter as a table of 64-bit words: a key's first mark names its word, its
+    second mark three bits of it. It has ``WORDS`` rows at most, whatever it holds, so it
+    can be broadcast; with millions of keys it lets more rows through, but loses none."""
+
+    WORDS = 1 << 20
+
+    def __init__(self, keys: DataFrame, first: str, second: str):
+        self.first, self.second = first, second
+        named = keys.select(self._word().alias("_word"), self._bits().alias("_own"))
+        self.words = named.groupBy("_word").agg(F.bit_or("_own").alias("_bits"))
+
+    def _word(self) -> Column:
+        return F.pmod(F.col(self.first), F.lit(self.WORDS)).cast("int")
+
+    def _bits(self) -> Column:
+        taken = (F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{self.second}`, {at}) & 63 AS INT))") for at in (0, 20, 40))
+        return reduce(Column.bitwiseOR, taken)
+
+    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows that are surely not among the keys, and all others."""
+        met = df.withColumn("_word", self._word()).join(F.broadcast(self.words), "_word", "left")
+        missing = F.coalesce(self._bits().bitwiseAND(F.bitwise_not("_bits")) != 0, F.lit(True))
+        return met.filter(missing).select(*df.columns), met.filter(~missing).select(*df.columns)
+
+
+def join_copies(rows: DataFrame, found: DataFrame, keys: Sequence[str], copies: str, scratch: Scratch, most: int = 0) -> DataFrame:
     """``rows`` with the columns of ``found`` (one row for each key), as a left join.
 
     ``copies`` says how many rows a key of ``found`` has. Keys with over a thousandth
     of all these rows, of which there are fewer than a thousand, are broadcast, so the
     rows of a large group of copies stay where they are; only the others are shuffled.
+    A ``found`` that was counted to have up to ``most`` rows is broadcast whole.
     """
     keys = list(keys)
+    if most and found.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(found.drop(copies)), keys, "left")
     total = found.agg(F.sum(copies).alias("_total"))  # one row
     large = found.crossJoin(F.broadcast(total)).filter(F.col(copies) * 1000 > F.col("_total"))
     hot = scratch.keep(large.drop("_total", copies).withColumn("_hot", F.lit(True)), "hot", files_a_core=1)

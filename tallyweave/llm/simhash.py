@@ -7,6 +7,7 @@ fewer positional bytes than any link must share are dropped, the rest verified.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -16,9 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm._shared import Scratch, components, join_copies
+from tallyweave.llm._shared import Scratch, WordFilter, components, join_copies, row_marks
 
 BITS, BYTES = 64, 8
+#: Positional bytes that name a posting.
+TOGETHER = 4
 #: Seed of the shingle hash.
 SEED = 42
 
@@ -66,37 +69,47 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
+def _byte_masks() -> list[int]:
+    """The bits of each positional byte, as BIGINT."""
+    return [255 << (8 * i) if i < BYTES - 1 else -(1 << 56) for i in range(BYTES)]
+
+
+def shared_bytes(a: Column, b: Column) -> Column:
     """Tally of the positions at which two fingerprints hold the same byte."""
-    diff = a.bitwiseXOR(b)
-    return sum(
-        (F.when(diff.bitwiseAND(F.lit(255 << (8 * i) if i < 7 else -(1 << 56))) == 0, 1).otherwise(0) for i in range(BYTES)),
-        F.lit(0),
-    )
+    differ = a.bitwiseXOR(b)
+    return sum((F.when(differ.bitwiseAND(F.lit(m)) == 0, 1).otherwise(0) for m in _byte_masks()), F.lit(0))
 
 
-def _terms(fp: Column) -> Column:
-    """Index terms of a fingerprint: for each two of its four byte pairs, which
-    two they are (0 to 5) and the four bytes. At most two differing bits touch at
-    most two byte pairs, so every link shares a term, and unlike single bytes
-    terms have short lists."""
-    pairs = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    return F.array(
-        *(
-            F.struct(F.lit(n).alias("term"), (pairs[i] * F.lit(1 << 16) + pairs[j]).alias("bytes"))
-            for n, (i, j) in enumerate(combinations(range(4), 2))
-        )
-    )
+def _slots(fp: Column) -> list[Column]:
+    """Number of each positional byte of a fingerprint: position * 256 + byte."""
+    return [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)).cast("int") + F.lit(256 * i) for i in range(BYTES)]
 
 
-def _first_term(a: Column, b: Column) -> Column:
-    """The first term that two fingerprints share; a pair counts only there."""
-    diff = a.bitwiseXOR(b)
-    same = [F.shiftrightunsigned(diff, 16 * i).bitwiseAND(F.lit(0xFFFF)) == 0 for i in range(4)]
-    found = F.lit(None).cast("int")
-    for n, (i, j) in reversed(list(enumerate(combinations(range(4), 2)))):
-        found = F.when(same[i] & same[j], F.lit(n)).otherwise(found)
-    return found
+def _postings(fps: DataFrame) -> DataFrame:
+    """One row, ``counts``: the length of the posting of each of the 8 * 256 positional
+    bytes, by its number."""
+    slots = fps.select(F.explode(F.array(*_slots(F.col("fp")))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    every = fps.sparkSession.range(256 * BYTES).select(F.col("id").cast("int").alias("slot")).join(F.broadcast(slots), "slot", "left")
+    listed = F.sort_array(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n"))))
+    return every.agg(F.transform(listed, lambda x: x["n"]).alias("counts"))
+
+
+def _terms(fp: Column, counts: Column, distance: int) -> Column:
+    """Postings in which a fingerprint is listed: each ``TOGETHER`` of its ``TOGETHER +
+    distance`` rarest positional bytes, as a mask of their bits and these bits.
+
+    A posting of one byte would hold 1/256 of all fingerprints, so it is split by further
+    bytes. Bytes are ranked by one order for all, the length of their postings. Two
+    fingerprints that share all but ``distance`` of their bytes have the first ``TOGETHER``
+    they share among so many first ones of either, so they meet in a posting.
+    """
+    ranked = F.array_sort(
+        F.array(*(F.struct(F.get(counts, slot).alias("n"), slot.alias("slot"), F.lit(m).alias("mask")) for slot, m in zip(_slots(fp), _byte_masks(), strict=True)))
+    )
+    several = []
+    for chosen in combinations(range(TOGETHER + distance), TOGETHER):
+        several.append(reduce(Column.bitwiseOR, (F.get(ranked, F.lit(i))["mask"] for i in chosen)))
+    return F.transform(F.array(*several), lambda m: F.struct(m.alias("mask"), fp.bitwiseAND(m).alias("bytes")))
 
 
 def _masked_links(values: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -130,36 +143,28 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 2, long_list: int =
     """Links ``(a, b)`` between distinct fingerprints ``fp``: enough of those at
     ``distance`` bits or fewer (2 at most) to keep what is connected connected.
 
-    Lists of the index up to ``long_list`` entries give pairs; a pair needs
-    8 - distance shared positional bytes, counts in one list alone, and is
-    verified. A longer list, such as that of thousands of near copies, would give
-    pairs with the square of its length. Its fingerprints are listed anew instead,
-    by the least that a link must share: each six of the eight positional bytes. Two
-    bytes are left open, so no list holds more than 65,536 fingerprints, however many
-    documents are near copies. Lists up to ``direct`` are compared pair by pair;
-    in others, fingerprints that agree outside a mask of two of the 16 open bits (120
-    masks) are linked, which finds the same components without pairs.
+    The inverted index lists fingerprints by positional bytes (``_terms``). Two that meet
+    in a posting of up to ``long_list`` entries are a candidate pair; its shared positional
+    bytes are tallied, and only pairs that reach the least a link must have, 8 - distance,
+    are verified by their bits. A longer posting, such as that of thousands of near copies,
+    would give pairs with the square of its length. Its fingerprints are split anew by the
+    least that a link must share: each six of the eight positional bytes, so that the tally
+    is reached by being listed together. Two bytes are left open, so no list holds more than
+    65,536 fingerprints, however many documents are near copies. Lists up to ``direct`` are
+    verified pair by pair; in others, fingerprints that agree outside a mask of two of the
+    16 open bits (120 masks) are linked, which finds the same components without pairs.
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
-    index = fps.select("fp", F.explode(_terms(F.col("fp"))).alias("t")).select("t.term", "t.bytes", "fp")
-    lengths = index.groupBy("term", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    index = scratch.hold(index.join(lengths, ["term", "bytes"]))
-    short = index.filter(F.col("n") <= long_list).select("term", "bytes", "fp")
+    counted = fps.crossJoin(F.broadcast(_postings(fps)))  # one row of 2,048 numbers
+    index = counted.select("fp", F.explode(_terms(F.col("fp"), F.col("counts"), distance)).alias("t")).select("t.mask", "t.bytes", "fp")
+    lengths = index.groupBy("mask", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
+    index = scratch.hold(index.join(lengths, ["mask", "bytes"]))
+    short = index.filter(F.col("n") <= long_list).select("mask", "bytes", "fp")
     a, b = F.col("l.fp"), F.col("r.fp")
-    pairs = (
-        short.alias("l")
-        .join(
-            short.alias("r"),
-            (F.col("l.term") == F.col("r.term"))
-            & (F.col("l.bytes") == F.col("r.bytes"))
-            & (a < b)
-            & (_shared_bytes(a, b) >= BYTES - distance)
-            & (_first_term(a, b) == F.col("l.term"))
-            & (F.bit_count(a.bitwiseXOR(b)) <= distance),
-        )
-        .select(a.alias("a"), b.alias("b"))
-    )
+    met = (F.col("l.mask") == F.col("r.mask")) & (F.col("l.bytes") == F.col("r.bytes")) & (a < b)
+    candidates = short.alias("l").join(short.alias("r"), met & (shared_bytes(a, b) >= BYTES - distance)).select(a.alias("a"), b.alias("b"))
+    pairs = candidates.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).distinct()
     open_bytes = list(combinations(range(BYTES), 2))
     open_masks = np.array([255 << (8 * i) | 255 << (8 * j) for i, j in open_bytes], np.uint64)
     kept = F.array(
@@ -194,6 +199,16 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 2, long_list: int =
     return pairs.unionByName(lists.mapInPandas(of_lists, "a long, b long"))
 
 
+def _least_of_component(classes: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """Classes ``fp, least, copies`` with the smallest ``least`` of their component."""
+    edges = scratch.keep(links(classes.select("fp"), scratch, distance), "links")
+    roots = scratch.keep(components(edges, scratch).withColumnRenamed("node", "fp"), "roots")
+    joined = scratch.keep(roots.join(classes, "fp"), "joined")
+    tops = joined.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("members"))
+    moved = join_copies(joined.select("fp", "root"), tops, ["root"], "members", scratch).select("fp", "top")
+    return scratch.keep(classes.join(moved, "fp", "left").select("fp", "copies", F.coalesce("top", "least").alias("least")), "final")
+
+
 def near_duplicates(docs: DataFrame, spark: SparkSession, distance: int = 2, width: int = 3) -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` (BIGINT of the 64 bits) and
     ``component_id``, the smallest doc_id reachable over links.
@@ -205,32 +220,32 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, distance: int = 2, wid
     scratch = Scratch(spark, "simhash")
     rows = scratch.hold(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")))
     classes = scratch.hold(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
-    edges = scratch.keep(links(classes.select("fp"), scratch, distance), "links")
-    roots = scratch.keep(components(edges, scratch).withColumnRenamed("node", "fp"), "roots")
-    joined = roots.join(classes, "fp")
-    tops = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = joined.select("fp", "root").join(tops, "root").select("fp", "component_id")
-    final = scratch.keep(
-        classes.join(moved, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")),
-        "final",
-    )
+    final = _least_of_component(classes, distance, scratch).withColumnRenamed("least", "component_id")
     return join_copies(rows, final, ["fp"], "copies", scratch).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, spark: SparkSession, distance: int = 2) -> DataFrame:
-    """Documents less the near copies: of each component the row with the smallest
-    doc_id stays, with all its columns.
+def keep_one(docs: DataFrame, spark: SparkSession, distance: int = 2, width: int = 3) -> DataFrame:
+    """Documents less the near copies: of each component one row stays, with all its
+    columns, namely the first by doc_id (nulls last), then by the hash of the whole row.
+
+    Rows are told apart by a hash of all their columns, never by doc_id, so rows of one
+    doc_id with unrelated texts all stay. Of rows that are equal in all columns one stays
+    at most. Null and blank texts are near copies of each other. An empty table stays empty.
 
-    Rows without a doc_id can't be told apart and stay. If a doc_id repeats, one
-    of its rows stays.
+    Texts are not shuffled but for rows that a filter of fixed size takes for one that may
+    go: these are joined with the rows to drop, all others stay in their place.
     """
-    found = Scratch(spark, "simhash-keep")
-    marks = found.keep(near_duplicates(docs, spark, distance), "marks").filter("doc_id IS NOT NULL")
-    gone = marks.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = found.keep(marks.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
-    if repeated.isEmpty():
-        return left
-    single = left.join(repeated, left["doc_id"] == repeated["_again"], "left_anti")
-    again = left.join(repeated, left["doc_id"] == repeated["_again"], "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(again)
+    scratch = Scratch(spark, "simhash-keep")
+    marked = docs.select("*", *(m.alias(name) for m, name in zip(row_marks(docs), ("_mark1", "_mark2"), strict=True)))
+    rows = scratch.hold(marked.select("doc_id", "_mark1", "_mark2", fingerprint(F.col("text"), width).alias("fp")))
+    first = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "_mark1", "_mark2")
+    classes = scratch.hold(rows.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("copies")))
+    final = _least_of_component(classes, distance, scratch)
+    told = join_copies(rows, final, ["fp"], "copies", scratch)
+    stays = (F.col("_mark1") == F.col("least._mark1")) & (F.col("_mark2") == F.col("least._mark2"))
+    each = told.groupBy("_mark1", "_mark2").agg(F.first(stays).alias("stays"), F.count("*").alias("times"))
+    touched = scratch.keep(each.filter("NOT stays OR times > 1"), "touched")
+    untouched, others = WordFilter(touched, "_mark1", "_mark2").split(marked)
+    gone = touched.filter("NOT stays").select("_mark1", "_mark2")
+    single = others.dropDuplicates(["_mark1", "_mark2"]).join(gone, ["_mark1", "_mark2"], "left_anti")
+    return untouched.select(*docs.columns).unionByName(single.select(*docs.columns))

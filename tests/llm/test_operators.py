@@ -427,7 +427,7 @@ def test_mixed_documents_hold_the_budget_of_many_small_sources(spark):
     rng = random.Random(3)
     rows = [(i if i % 7 else 5, f"w{i} " + "w " * rng.choice([0, 3, 40, 900]), rng.choice(["a", "b", None, "c", "d"])) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    ties = {r["text"]: r["tie"] for r in docs.select("text", F.xxhash64("doc_id", "text", "source").alias("tie")).collect()}
+    ties = {r["text"]: tuple(r["ties"]) for r in docs.select("text", F.array(*_shared.row_marks(docs)).alias("ties")).collect()}
     sizes = Counter()
     for _, text, source in rows:
         sizes[source] += len(words(text))
@@ -446,6 +446,22 @@ def test_mixed_documents_hold_the_budget_of_many_small_sources(spark):
     assert Counter(r["text"] for r in mixing.mixed_documents(docs, spark).collect()) == expected
 
 
+def test_mixed_documents_hold_the_budget_of_repeated_rows(spark):
+    """Equal rows are used as often as the cut says: 150 words share 225 of budget."""
+    for rows, least, most in (([(1, "w " * 50, "s")] * 3, 225, 274), ([(None, "w " * 10, "s")] * 40, 600, 609), ([(None, f"w{i % 3} " * 10, None) for i in range(40)], 600, 609)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        used = sum(len(words(r["text"])) for r in mixing.mixed_documents(docs, spark).collect())
+        assert least <= used <= most
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(6)
+    sizes = {f"s{i:04d}" if i else None: rng.randrange(400) for i in range(900)}
+    table = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    found = {r["source"]: r["target"] for r in mixing.source_targets(table, _shared.Scratch(spark, "test")).collect()}
+    assert found == pytest.approx(plain_targets(sizes))
+
+
 # --- 8 personal data ----------------------------------------------------------------------------------------
 
 _PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -557,10 +573,37 @@ def test_simhash_query(spark, docs, empty):
     kept = simhash.keep_one(docs, spark)
     assert kept.columns == docs.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
-    assert ids == Counter({None: 1} | {i: 1 for r, (i, _, _, _) in zip(root, rows) if i is not None and least[r] == i})
+    assert ids == Counter({i: 1 for r, (i, _, _, _) in zip(root, rows) if i is not None and least[r] == i})
     assert simhash.keep_one(empty, spark).count() == 0
 
 
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    """Ids that repeat, or are null, on unrelated texts; rows equal in all columns."""
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60, [x + w for w in WORDS]) for x in "abcd")
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (9, c, "x"), (9, b + " ", "x"), (None, d, None), (None, d, "x"), (None, c.upper(), "x")]
+    rows += [(1, prose(rng, 50), "x")] * 40 + [(None, prose(rng, 45), "x")] * 5 + [(2, "", "x"), (2, None, None), (2, None, "x")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, _word string").repartition(7)
+    marks = [plain_simhash(t) for _, t, _ in rows]
+    root = union_find(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(marks[i] ^ marks[j]).count("1") <= 2])
+    least = {}
+    for r, (i, _, _) in zip(root, rows):
+        least[r] = min(least.get(r, 1 << 60), 1 << 60 if i is None else i)
+    kept = simhash.keep_one(made, spark).collect()
+    assert len(kept) == len(least)
+    group = {t: r for r, (_, t, _) in zip(root, rows)}
+    assert {group[r["text"]]: 1 << 60 if r["doc_id"] is None else r["doc_id"] for r in kept} == least
+    again = simhash.keep_one(made.repartition(3), spark).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, kept))
+
+
+def test_word_filter_loses_no_key(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"))
+    every = spark.range(40_000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"), "id")
+    out, kept = _shared.WordFilter(keys, "a", "b").split(every)
+    assert out.count() + kept.count() == 40_000 and out.filter("id < 3000").isEmpty() and kept.count() < 3100
+
+
 @pytest.mark.parametrize("long_list,groups", [(64, 8), (2, 3), (1, 1)])
 @pytest.mark.parametrize("distance", [0, 1, 2])
 def test_links_equal_brute_force(spark, long_list, groups, distance):
