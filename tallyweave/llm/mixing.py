@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm._shared import Scratch, hex_order, running_sums, word_count
+from tallyweave.llm._shared import Scratch, hex_order, join_copies, ranked_sums, row_marks, running_sums, word_count
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
@@ -17,51 +19,48 @@ STEPS = 4096
 LATE_STEPS = 256
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """``source``, ``source_size``, ``target`` from one row (source, size) for each
-    document: the weights go to the sources by code point, null last, and repeat.
-    The budget is ``share`` of all sizes. A target stops at ``epochs`` times its
-    source's size; what it can't use goes to the others by weight, until none is above.
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """``source``, ``source_docs``, ``source_size``, ``target`` from one row (source, size)
+    for each document: the weights go to the sources by code point, null last, and repeat.
+    The budget is ``share`` of all sizes. A target stops at ``epochs`` times its source's
+    size; what it can't use goes to the others by weight, until none is above.
 
-    The windows without a key see one row for each source.
+    Sources are ordered by ranges, so their number is not bounded by one task.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights)).cast("int") + 1)
-    ranked = per.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * epochs).alias("most"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"), F.lit(1).alias("one"))
+    name = [F.isnull("source"), F.col("source")]
+    numbered = ranked_sums(per, name, {"one": "rank"}, scratch)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int") + 1)
+    ranked = numbered.select("source", "source_docs", "source_size", weight.alias("weight"), (F.col("source_size") * epochs).alias("most"))
     # Sources fill up in the order of most / weight. With those before one full, the
     # rest share what is left; the first share that the next can take, which is
     # the greatest of those that fit, is the level.
-    every = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = every.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    open_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    leveled = ranked.withColumn("level", left / open_weight)
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))
-    level = F.max(fits).over(whole)
-    return leveled.select(
-        "source",
-        "source_size",
-        F.least(F.col("most").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"),
-    )
+    filled = ranked_sums(ranked, [F.col("most") / F.col("weight"), *name], {"most": "most_before", "weight": "weight_before"}, scratch)
+    whole = ranked.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
+    left = F.col("all_size") * F.lit(float(share)) - F.col("most_before")
+    leveled = filled.crossJoin(F.broadcast(whole)).withColumn("level", left / (F.col("all_weight") - F.col("weight_before")))
+    top = leveled.agg(F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).alias("top"))  # one row
+    target = F.least(F.col("most").cast("double"), F.coalesce("top", F.lit(float("inf"))) * F.col("weight"))
+    return ranked.crossJoin(F.broadcast(top)).select("source", "source_docs", "source_size", target.alias("target"))
+
+
+#: Tables of sources up to this many rows are broadcast, larger ones in part.
+SOURCES = 100_000
 
 
-def _queued(docs: DataFrame, size: Column, scratch: Scratch, tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def _queued(docs: DataFrame, size: Column, scratch: Scratch, ties: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame]:
     """Each document with ``before``, the words of its source that are queued ahead
     of it in the shuffled order, and its source's size and target; and the targets.
-    Documents of one id queue by ``tie``, or else by size."""
-    ties = [] if tie is None else [tie.alias("tie")]
-    sizes = scratch.hold(
-        docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"), *ties)
-    )
-    targets = scratch.keep(source_targets(sizes), "targets")
+    Documents of one id queue by ``ties``, or else by size."""
+    sizes = scratch.hold(docs.select("doc_id", "source", size.alias("size"), F.monotonically_increasing_id().alias("row"), *ties))
+    targets = scratch.keep(source_targets(sizes, scratch), "targets")
     name, unnamed = F.coalesce("source", F.lit("")).alias("source"), F.isnull("source").alias("unnamed")
     order = hex_order(F.col("doc_id"))
-    by = "size" if tie is None else "tie"
-    rows = sizes.select("row", "doc_id", "size", *[by][: len(ties)], name, unnamed, order.alias("order"), F.substring(order, 1, 3).alias("bucket"))
-    queued = running_sums(rows, ["source", "unnamed"], "bucket", ["order", "doc_id", by, "row"], {"size": "before"})
-    return queued.join(targets.select(name, unnamed, "source_size", "target"), ["source", "unnamed"]), targets
+    tied = sizes.columns[4:]
+    rows = sizes.select("row", "doc_id", "size", *tied, name, unnamed, order.alias("order"), F.substring(order, 1, 3).alias("bucket"))
+    queued = running_sums(rows, ["source", "unnamed"], "bucket", ["order", "doc_id", *(tied or ["size"]), "row"], {"size": "before"})
+    named = targets.select(name, unnamed, "source_docs", "source_size", "target")
+    return join_copies(queued, named, ["source", "unnamed"], "source_docs", scratch, SOURCES), targets
 
 
 def fair_mix(docs: DataFrame, spark: SparkSession, size: Column | None = None) -> DataFrame:
@@ -117,18 +116,21 @@ def mixed_documents(docs: DataFrame, spark: SparkSession, size: Column | None =
     service where the mix reaches all targets together is the last, used whole. So the
     mix exceeds its budget by less than that document, and a source differs from its
     target by what is left or ahead of its documents. Sources without any word give
-    each document once.
+    each document once. Null texts have size 0, null sources are one source, and an
+    empty table gives no rows.
 
     A source's uses are the first of its queue, so what to use is told by where each
-    source's queue is cut, one row for each source, and texts are not shuffled. Rows
-    that are equal in all columns are not told apart there: they are used alike.
+    source's queue is cut, one row for each source, and texts are not shuffled. Documents
+    of one id, or of none, queue by the hash of the whole row. Rows that are equal in all
+    columns can't be told apart by that, so the cut also says how many of them are used.
 
     Steps of virtual time are equal up to 1; later ones, which only large documents of
     small targets leave to be used, grow with it, so there are few of them.
     """
     scratch = Scratch(spark, "mixed")
-    tie = F.xxhash64(*(docs[c] for c in docs.columns))
-    queued, targets = _queued(docs, word_count(F.col("text")) if size is None else size, scratch, tie)
+    marks = row_marks(docs)
+    ties = [m.alias(name) for m, name in zip(marks, ("mark1", "mark2"), strict=True)]
+    queued, targets = _queued(docs, word_count(F.col("text")) if size is None else size, scratch, ties)
     start = F.col("before") + F.col("epoch") * F.col("source_size")
     finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).otherwise(F.col("epoch").cast("double"))
     uses = scratch.hold(
@@ -139,22 +141,38 @@ def mixed_documents(docs: DataFrame, spark: SparkSession, size: Column | None =
     )
     late = F.lit(STEPS) + (F.log2(F.greatest(F.col("finish"), F.lit(1.0))) * LATE_STEPS).cast("int")
     step = F.when(F.col("finish") < 1, (F.col("finish") * STEPS).cast("int")).otherwise(late)
-    order = ["finish", "source", "unnamed", "epoch", "order", "doc_id", "tie", "row"]
+    own = ["order", "doc_id", "mark1", "mark2"]
+    order = ["finish", "source", "unnamed", "epoch", *own, "row"]
     placed = running_sums(uses.select("*", F.lit(0).alias("mix"), step.alias("step")), ["mix"], "step", order, {"size": "ahead"})
     whole = targets.agg(F.round(F.sum("target"), 3).alias("budget"))  # one row
-    taken = placed.crossJoin(F.broadcast(whole)).filter("ahead < budget OR target = 0")
-    cuts = scratch.keep(
-        taken.groupBy("source", "unnamed").agg(F.max(F.struct("epoch", "order", "doc_id", "tie")).alias("last")), "cuts"
-    ).select(*(F.col(c).alias(f"_cut_{c}") for c in ("source", "unnamed", "last")))
-    last = F.col("_cut_last")
-    own = F.struct(hex_order(docs["doc_id"]).alias("order"), docs["doc_id"].alias("doc_id"), tie.alias("tie"))
-    more = F.when(own <= F.struct(last["order"].alias("order"), last["doc_id"].alias("doc_id"), last["tie"].alias("tie")), 1).otherwise(0)
-    return (
-        docs.join(
-            cuts,
-            (F.coalesce(docs["source"], F.lit("")) == F.col("_cut_source")) & (F.isnull(docs["source"]) == F.col("_cut_unnamed")),
-        )
-        .withColumn("_cut_uses", F.array_repeat(F.lit(0), last["epoch"] + more))
-        .select(*(docs[c] for c in docs.columns), F.explode("_cut_uses").alias("_cut_use"))
-        .drop("_cut_use")
+    taken = placed.crossJoin(F.broadcast(whole)).withColumn("is_used", F.expr("ahead < budget OR target = 0"))
+    # Of equal rows: how many there are, the last epoch that uses any, and how many it uses.
+    equal = taken.groupBy("source", "unnamed", *own).agg(
+        F.sum((F.col("epoch") == 0).cast("int")).alias("there"),
+        F.max(F.when(F.col("is_used"), F.col("epoch"))).alias("epoch"),
+        *(F.sum((F.col("is_used") & (F.col("epoch") == e)).cast("int")).alias(f"used{e}") for e in range(EPOCHS)),
+    )
+    used = F.element_at(F.array(*(F.col(f"used{e}") for e in range(EPOCHS))), F.col("epoch") + 1)
+    last = F.max(F.struct("epoch", F.struct(*own).alias("at"), used.alias("used"), "there"))
+    per_source = equal.filter("epoch IS NOT NULL").groupBy("source", "unnamed").agg(last.alias("last"), F.sum("there").alias("docs"))
+    cuts = scratch.keep(per_source.select(*(F.col(c).alias(f"_cut_{c}") for c in per_source.columns)), "cuts")
+    keyed = docs.select(
+        "*",
+        F.coalesce("source", F.lit("")).alias("_cut_source"),
+        F.isnull("source").alias("_cut_unnamed"),
+        F.struct(hex_order(docs["doc_id"]).alias("order"), docs["doc_id"].alias("doc_id"), *ties).alias("_cut_own"),
     )
+    met = join_copies(keyed, cuts, ["_cut_source", "_cut_unnamed"], "_cut_docs", scratch, SOURCES).filter("_cut_last IS NOT NULL")
+    mine, cut = F.col("_cut_own"), F.col("_cut_last")
+    some = cut["used"] < cut["there"]  # of the equal rows at the cut only some are used once more
+    more = F.when((mine < cut["at"]) | (~(mine > cut["at"]) & ~some), 1).otherwise(0)
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn("_cut_use", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+
+    out = repeated(met, cut["epoch"] + more)
+    if cuts.filter("_cut_last.used < _cut_last.there").isEmpty():
+        return out
+    at_cut = met.filter(some & ~(mine < cut["at"]) & ~(mine > cut["at"])).withColumn("_cut_used", cut["used"].cast("int"))
+    one_each = at_cut.drop("_cut_last").dropDuplicates(["_cut_source", "_cut_unnamed"])
+    return out.unionByName(repeated(one_each, F.col("_cut_used")))
