@@ -23,6 +23,10 @@ FRAME, CHUNK, GROUP, RATE = 64, 32, 30, 30
 NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"meta": 4}
 
 
+#: Boxes within boxes that are followed.
+DEPTH = 32
+
+
 class Malformed(ValueError):
     """The bytes break the box structure or their tables contradict each other."""
 
@@ -33,7 +37,8 @@ class Track:
     handler: str = ""
     codec: str = ""
     timescale: int = 0
-    duration: int = 0
+    #: In units of the timescale; None if the file says that it is unknown.
+    duration: int | None = 0
     #: One entry for each sample: offset and size; keyframes by number from 0.
     offsets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -142,12 +147,20 @@ class _Table:
         self.at += size
         return struct.unpack_from(form, self.data, self.at - size)
 
+    def time(self, wide: bool) -> int | None:
+        """A duration; all ones mean that it is unknown, and none beyond 63 bits is known."""
+        value = self.take(">Q" if wide else ">I")[0]
+        return None if value == (1 << (64 if wide else 32)) - 1 or value >> 63 else value
+
     def array(self, n: int, kind: str, width: int = 1) -> np.ndarray:
         size = n * width * int(kind[-1])
         if self.at + size > self.end:
             raise Malformed(f"a table is cut at {self.at}")
         self.at += size
-        found = np.frombuffer(self.data, kind, n * width, self.at - size).astype(np.int64)
+        read = np.frombuffer(self.data, kind, n * width, self.at - size)
+        if kind == ">u8" and len(read) and int(read.max()) >> 63:
+            raise Malformed("an offset beyond any file")
+        found = read.astype(np.int64)
         return found.reshape(n, width) if width > 1 else found
 
     def version(self) -> tuple[int, int]:
@@ -156,60 +169,125 @@ class _Table:
 
 
 def index(data: bytes) -> list[Track]:
-    """The tracks of an ISO file. Payload bytes are never read."""
-    tracks: dict[int, Track] = {}
-    defaults: dict[int, tuple[int, int, int]] = {}
-    _walk(data, 0, len(data), tracks, defaults, {})
-    return list(tracks.values())
-
-
-def _walk(data: bytes, start: int, end: int, tracks: dict, defaults: dict, near: dict) -> None:
-    for kind, at, body, stop in boxes(data, start, end):
-        t = _Table(data, body, stop)
-        if kind == b"trak":
-            inner: dict = {"track": Track()}
-            _walk(data, body, stop, tracks, defaults, inner)
-            _samples(inner)
-            tracks[inner["track"].track_id] = inner["track"]
-        elif kind == b"moof":
-            _walk(data, body, stop, tracks, defaults, {"moof": at})
-        elif kind == b"traf":
-            _walk(data, body, stop, tracks, defaults, {"moof": near.get("moof", 0)})
-        elif kind in NESTED:
-            if kind == b"meta" and data[body + 4 : body + 8] in (b"hdlr", b"keys", b"ilst"):
-                _walk(data, body, stop, tracks, defaults, {})  # the form without version
+    """The tracks of an ISO file. Payload bytes are never read. ``Malformed`` is raised for
+    bytes that are no such file, break off, nest deeper than ``DEPTH`` or hold more samples
+    than bytes, and for tables outside the boxes that they belong to."""
+    file = _File(data)
+    file.walk(0, len(data), {}, 0)
+    return file.done()
+
+
+class _File:
+    """What a walk over all boxes of a file has found so far. ``near`` passes on what the
+    boxes around and before a box say: its track, its fragment and that one's defaults."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.tracks: dict[int, Track] = {}
+        self.defaults: dict[int, tuple[int, int, int]] = {}
+        #: Samples of fragments by track: (offsets, sizes, whether a keyframe).
+        self.runs: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.in_runs = 0
+
+    def done(self) -> list[Track]:
+        for number, runs in self.runs.items():
+            track = self.tracks[number]
+            before = len(track.sizes)
+            offsets, sizes, keys = (np.concatenate(x) for x in zip(*runs, strict=True))
+            track.keyframes = np.append(track.keyframes, before + np.flatnonzero(keys))
+            track.offsets, track.sizes = np.append(track.offsets, offsets), np.append(track.sizes, sizes)
+        return list(self.tracks.values())
+
+    def walk(self, start: int, end: int, near: dict, depth: int) -> None:
+        if depth > DEPTH:
+            raise Malformed("boxes nest too deeply")
+        for kind, at, body, stop in boxes(self.data, start, end):
+            if kind == b"trak":
+                inner: dict = {"track": Track()}
+                self.walk(body, stop, inner, depth + 1)
+                _samples(inner)
+                self.tracks[inner["track"].track_id] = inner["track"]
+            elif kind == b"moof":
+                self.walk(body, stop, {"moof": at}, depth + 1)
+            elif kind == b"traf":
+                self.walk(body, stop, {"moof": _needed(near, "moof", "traf")}, depth + 1)
+            elif kind == b"meta" and self.data[body + 4 : body + 8] in (b"hdlr", b"keys", b"ilst"):
+                self.walk(body, stop, {}, depth + 1)  # the form without version
+            elif kind in NESTED:
+                self.walk(body + NESTED[kind], stop, {} if kind in (b"meta", b"udta") else near, depth + 1)
             else:
-                _walk(data, body + NESTED[kind], stop, tracks, defaults, {} if kind in (b"meta", b"udta") else near)
-        elif kind == b"tkhd" and "track" in near:
+                self.leaf(kind, _Table(self.data, body, stop), near)
+
+    def leaf(self, kind: bytes, t: _Table, near: dict) -> None:
+        track = near.get("track")
+        if kind == b"trex":
+            t.version()
+            number, _, duration, size, flags = t.take(">IIIII")
+            self.defaults[number] = duration, size, flags
+        elif kind == b"tfhd":
+            self.fragment(t, near)
+        elif kind == b"trun":
+            self.run(t, near)
+        elif track is None:
+            return
+        elif kind == b"tkhd":
             version, _ = t.version()
-            near["track"].track_id = t.take(">QQI" if version else ">III")[2]
-        elif kind == b"mdhd" and "track" in near:
+            track.track_id = t.take(">QQI" if version else ">III")[2]
+        elif kind == b"mdhd":
             version, _ = t.version()
-            _, _, near["track"].timescale, near["track"].duration = t.take(">QQIQ" if version else ">IIII")
-        elif kind == b"hdlr" and "track" in near:
-            near["track"].handler = t.take(">II4s")[2].decode("latin-1")
-        elif kind == b"stsd" and "track" in near:
+            track.timescale = t.take(">QQI" if version else ">III")[2]
+            track.duration = t.time(bool(version))
+        elif kind == b"hdlr":
+            track.handler = t.take(">II4s")[2].decode("latin-1")
+        elif kind == b"stsd":
             t.version()
             if t.take(">I")[0]:
-                near["track"].codec = t.take(">I4s")[1].decode("latin-1")
-        elif kind in (b"stts", b"stsc", b"stss", b"stsz", b"stz2", b"stco", b"co64") and "track" in near:
+                track.codec = t.take(">I4s")[1].decode("latin-1")
+        elif kind in (b"stts", b"stsc", b"stss", b"stsz", b"stz2", b"stco", b"co64"):
             near[kind] = _sample_table(kind, t)
-        elif kind == b"trex":
-            t.version()
-            track, _, duration, size, flags = t.take(">IIIII")
-            defaults[track] = duration, size, flags
-        elif kind == b"tfhd":
-            _, flags = t.version()
-            near["id"] = t.take(">I")[0]
-            near["base"] = t.take(">Q")[0] if flags & 1 else near["moof"]
-            if flags & 2:
-                t.take(">I")
-            duration, size, sample_flags = defaults.get(near["id"], (0, 0, 0))
-            near["duration"] = t.take(">I")[0] if flags & 8 else duration
-            near["size"] = t.take(">I")[0] if flags & 16 else size
-            near["flags"] = t.take(">I")[0] if flags & 32 else sample_flags
-        elif kind == b"trun" and "id" in near:
-            _run(t, tracks.setdefault(near["id"], Track(near["id"])), near)
+
+    def fragment(self, t: _Table, near: dict) -> None:
+        """What a fragment's header says of its samples."""
+        start = _needed(near, "moof", "tfhd")
+        _, flags = t.version()
+        near["id"] = t.take(">I")[0]
+        near["base"] = t.take(">Q")[0] if flags & 1 else start
+        if near["base"] > len(self.data):
+            raise Malformed("a fragment lies outside the file")
+        if flags & 2:
+            t.take(">I")
+        duration, size, sample_flags = self.defaults.get(near["id"], (0, 0, 0))
+        near["duration"] = t.take(">I")[0] if flags & 8 else duration
+        near["size"] = t.take(">I")[0] if flags & 16 else size
+        near["flags"] = t.take(">I")[0] if flags & 32 else sample_flags
+        near.pop("next", None)
+
+    def run(self, t: _Table, near: dict) -> None:
+        """Adds the samples of a fragment's run."""
+        number = _needed(near, "id", "trun")
+        track = self.tracks.setdefault(number, Track(number))
+        _, flags = t.version()
+        (n,) = t.take(">I")
+        self.in_runs += n
+        if self.in_runs > len(self.data):
+            raise Malformed("more samples than the file has bytes")
+        start = near["base"] + t.take(">i")[0] if flags & 1 else near.get("next", near["base"])
+        first = t.take(">I")[0] if flags & 4 else None
+        columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        rows = t.array(n, ">u4", len(columns)).reshape(n, len(columns)) if columns else np.zeros((n, 0), np.int64)
+        of = lambda bit, else_: rows[:, columns.index(bit)] if bit in columns else np.full(n, else_, np.int64)
+        sizes, marks = of(0x200, near["size"]), of(0x400, near["flags"]).copy()
+        if first is not None and n:
+            marks[0] = first
+        self.runs.setdefault(number, []).append((start + np.cumsum(sizes) - sizes, sizes, marks >> 16 & 1 == 0))
+        track.duration = (track.duration or 0) + int(of(0x100, near["duration"]).sum())
+        near["next"] = start + int(sizes.sum())
+
+
+def _needed(near: dict, name: str, kind: str) -> int:
+    if name not in near:
+        raise Malformed(f"{kind} lies outside the box that it belongs to")
+    return near[name]
 
 
 def _sample_table(kind: bytes, t: _Table) -> np.ndarray | tuple[int, int]:
@@ -256,30 +334,9 @@ def _samples(near: dict) -> None:
             raise Malformed("stss names a sample that is not there")
     else:
         track.keyframes = np.arange(len(sizes))
-    if not track.duration and b"stts" in near:
-        track.duration = int((near[b"stts"][:, 0] * near[b"stts"][:, 1]).sum())
-
-
-def _run(t: _Table, track: Track, near: dict) -> None:
-    """Adds the samples of a fragment's run."""
-    _, flags = t.version()
-    (n,) = t.take(">I")
-    if n > len(t.data):
-        raise Malformed("more samples than the file holds")
-    start = near["base"] + t.take(">i")[0] if flags & 1 else near.get("next", near["base"])
-    first = t.take(">I")[0] if flags & 4 else None
-    columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
-    rows = t.array(n, ">u4", len(columns)).reshape(n, len(columns)) if columns else np.zeros((n, 0), np.int64)
-    of = lambda bit, else_: rows[:, columns.index(bit)] if bit in columns else np.full(n, else_, np.int64)
-    sizes, marks = of(0x200, near["size"]), of(0x400, near["flags"]).copy()
-    if first is not None and n:
-        marks[0] = first
-    number = len(track.sizes)
-    track.keyframes = np.append(track.keyframes, number + np.flatnonzero(marks >> 16 & 1 == 0))
-    track.offsets = np.append(track.offsets, start + np.cumsum(sizes) - sizes)
-    track.sizes = np.append(track.sizes, sizes)
-    track.duration += int(of(0x100, near["duration"]).sum())
-    near["next"] = start + int(sizes.sum())
+    if track.duration == 0 and b"stts" in near:
+        total = sum(n * each for n, each in near[b"stts"].tolist())
+        track.duration = total if total < 1 << 63 else None
 
 
 def payload(data: bytes, track: Track) -> bytes:
@@ -297,35 +354,51 @@ def payload(data: bytes, track: Track) -> bytes:
 # --- columns ----------------------------------------------------------------------
 
 _RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-MEDIA = "struct<codec: string, timescale: long, duration: long, samples: long, keyframes: array<struct<start: long, end: long>>, error: string>"
+_TRACK = pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", _RANGES)])
+_INDEX = pa.struct([("tracks", pa.list_(_TRACK)), ("error", pa.string())])
+#: Types of the columns below.
+TRACK = "struct<track_id: long, handler: string, codec: string, timescale: long, duration: long, samples: long, keyframes: array<struct<start: long, end: long>>>"
+MEDIA = f"struct<tracks: array<{TRACK}>, error: string>"
+
+
+def _described(t: Track) -> dict:
+    ranges = [{"start": a, "end": b} for a, b in t.key_ranges().tolist()]
+    return {"track_id": t.track_id, "handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "samples": len(t.sizes), "keyframes": ranges}
+
+
+def read(data: bytes) -> tuple[list[Track], dict]:
+    """Tracks of a file and a row of ``MEDIA``; any fault of the bytes is its ``error``."""
+    try:
+        tracks = index(data)
+        return tracks, {"tracks": [_described(t) for t in tracks]}
+    except Malformed as e:
+        return [], {"error": str(e)}
+    except (struct.error, ArithmeticError, LookupError, ValueError) as e:  # whatever else bytes can do to the tables
+        return [], {"error": f"{type(e).__name__}: {e}"}
+
+
+def _stored(data: bytes, tracks: list[Track], number: int) -> bytes | None:
+    try:
+        return payload(data, tracks[number]) if number < len(tracks) else None
+    except Malformed:
+        return None
 
 
 def media_index(data: Column) -> Column:
-    """``MEDIA`` of the first track of each container. Null gives null; bytes that
-    are no ISO file, or break off, give their error and nulls. No track: all null."""
+    """``MEDIA`` of each file: all its tracks, or the ``error`` of bytes that are no ISO
+    file, break off or contradict themselves. Null gives null; no byte, no track. Files of
+    any length are read by their tables only; equal files give equal rows."""
 
     @F.arrow_udf(MEDIA)
     def of(cells: pa.Array) -> pa.Array:
-        kind = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", _RANGES), ("error", pa.string())])
-        return pa.array([None if x is None else _row(x) for x in cells.to_pylist()], kind)
+        return pa.array([None if x is None else read(x)[1] for x in cells.to_pylist()], _INDEX)
 
     return of(data)
 
 
-def _row(data: bytes) -> dict:
-    try:
-        tracks = index(data)
-    except (Malformed, struct.error) as e:
-        return {"error": str(e)}
-    if not tracks:
-        return {}
-    t = tracks[0]
-    ranges = [{"start": a, "end": b} for a, b in t.key_ranges().tolist()]
-    return {"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "samples": len(t.sizes), "keyframes": ranges}
-
-
 def text_container(text: Column) -> Column:
-    """Each text (null: empty) as UTF-8, padded, in an ISO file."""
+    """Each text (null: empty) as UTF-8, padded, in an ISO file. Texts of any length are
+    stored whole."""
 
     @F.arrow_udf("binary")
     def of(texts: pa.Array) -> pa.Array:
@@ -334,15 +407,25 @@ def text_container(text: Column) -> Column:
     return of(text)
 
 
-def stored_payload(data: Column) -> Column:
-    """The bytes of the first track's samples, read back from each container."""
+def stored_payload(data: Column, number: int = 0) -> Column:
+    """The bytes of the samples of one track of each file, the first by default. Null
+    where there is no such track, or the bytes are no file that can be read."""
 
     @F.arrow_udf("binary")
     def of(cells: pa.Array) -> pa.Array:
-        out = []
-        for x in cells.to_pylist():
-            tracks = index(x) if x is not None else []
-            out.append(payload(x, tracks[0]) if tracks else None)
-        return pa.array(out, pa.binary())
+        return pa.array([None if x is None else _stored(x, read(x)[0], number) for x in cells.to_pylist()], pa.binary())
 
     return of(data)
+
+
+def stored_text(text: Column) -> Column:
+    """Struct ``media, payload, index``: the file of ``text_container``, its
+    ``stored_payload`` and its ``media_index``, made and read once."""
+
+    @F.arrow_udf(f"struct<media: binary, payload: binary, index: {MEDIA}>")
+    def of(texts: pa.Array) -> pa.Array:
+        media = pa.array((container(padded((x.as_py() or "").encode())) for x in texts), pa.binary())
+        parts = [(_stored(x.as_py(), tracks, 0), row) for x in media for tracks, row in [read(x.as_py())]]
+        return pa.StructArray.from_arrays([media, pa.array([p for p, _ in parts], pa.binary()), pa.array([r for _, r in parts], _INDEX)], ["media", "payload", "index"])
+
+    return of(text)

@@ -82,12 +82,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    stored = docs.select(
-        "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        media.text_container(F.col("text")).alias("media"),
-    )
-    read = stored.select("*", media.stored_payload(F.col("media")).alias("payload"), media.media_index(F.col("media")).alias("i"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    stored = docs.select("doc_id", n_bytes, media.stored_text(F.col("text")).alias("s"))
+    read = stored.select("doc_id", "n_bytes", "s.media", "s.payload", F.col("s.index.tracks")[0].alias("i"))
     ranges = F.array_join(F.transform("i.keyframes", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
     return read.select(
         "doc_id",

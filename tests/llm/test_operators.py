@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -654,8 +655,91 @@ def test_broken_files_give_an_error_not_a_crash(changes, cut):
     data = bytearray(media.container(media.padded(b"x" * 1000)))
     for at, value in changes:
         data[at % len(data)] = value
-    media._row(bytes(data))
-    media._row(bytes(data[:cut]))
+    media.read(bytes(data))
+    media.read(bytes(data[:cut]))
+
+
+_LEAVES = [b"mdhd", b"tkhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stss", b"stsz", b"stz2", b"stco", b"co64", b"trex", b"tfhd", b"trun", b"free"]
+_FIELDS = st.lists(st.sampled_from([0, 1, 2, 3, 7, 64, 1 << 16, 0x01000000, 0x305, 0x7FFFFFFF, 0xFFFFFFFF]), max_size=9).map(lambda x: struct.pack(f">{len(x)}I", *x))
+_TREES = st.recursive(
+    st.tuples(st.sampled_from(_LEAVES), _FIELDS),
+    lambda inner: st.tuples(st.sampled_from(sorted(media.NESTED)), st.lists(inner, max_size=5)),
+    max_leaves=25,
+)
+
+
+def boxed(tree):
+    kind, body = tree
+    return media._box(kind, body if isinstance(body, bytes) else b"".join(map(boxed, body)))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(_TREES, max_size=4))
+def test_any_tree_of_boxes_is_read_or_named_malformed(trees):
+    data = b"".join(map(boxed, trees))
+    tracks, row = media.read(data)
+    assert ("error" in row) != ("tracks" in row)
+    for t in tracks:
+        media._stored(data, [t], 0)
+    pa.array([row], media._INDEX)
+
+
+def test_faults_that_once_ended_the_job(spark):
+    unknown = media._box(b"trak", media._box(b"mdia", media._full(b"mdhd", struct.pack(">QQIQ", 0, 0, 30, (1 << 64) - 1), version=1)))
+    stray = media._full(b"tfhd", struct.pack(">I", 1))
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"udta", deep)
+    bomb = media._box(b"moof", media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 1)) + media._full(b"trun", struct.pack(">I", 900)) * 50))
+    rows = [unknown, stray, deep, bomb, b"no", b"", None]
+    made = spark.createDataFrame([(None if x is None else bytearray(x),) for x in rows], "b binary")
+    found = made.select(media.media_index(F.col("b")).alias("i"), media.stored_payload(F.col("b")).alias("p")).collect()
+    assert found[0]["i"]["tracks"][0]["duration"] is None and found[0]["i"]["tracks"][0]["timescale"] == 30
+    assert all(r["i"]["error"] and r["i"]["tracks"] is None and r["p"] is None for r in found[1:5])
+    assert found[5]["i"]["tracks"] == [] and found[6]["i"] is None and found[6]["p"] is None
+
+
+def test_all_tracks_are_indexed():
+    one = media.container(media.padded(b"a" * 100))
+    moov = next(one[at:end] for kind, at, _, end in media.boxes(one) if kind == b"moov")
+    second = moov.replace(b"vide", b"soun").replace(struct.pack(">IIIII", 0, 0, 1, 0, 2), struct.pack(">IIIII", 0, 0, 2, 0, 2))
+    assert [(t["track_id"], t["handler"]) for t in media.read(one + second)[1]["tracks"]] == [(1, "vide"), (2, "soun")]
+
+
+def plain_boxes(data):
+    """A reader written apart: {path: [bodies]} of all boxes."""
+    out, todo = defaultdict(list), [("", data)]
+    while todo:
+        path, rest = todo.pop()
+        while rest:
+            size, kind = int.from_bytes(rest[:4], "big"), rest[4:8].decode("latin-1")
+            body = rest[8:size]
+            out[f"{path}/{kind}"].append(body)
+            if kind in ("moov", "trak", "mdia", "minf", "stbl", "dinf"):
+                todo.append((f"{path}/{kind}", body))
+            rest = rest[size:]
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=9000))
+def test_containers_are_read_by_another_reader(data):
+    payload = media.padded(data)
+    stored = media.container(payload)
+    found = plain_boxes(stored)
+    u4 = lambda body, at=0: [int.from_bytes(body[i : i + 4], "big") for i in range(at, len(body) - 3, 4)]
+    table = {kind: u4(found[f"/moov/trak/mdia/minf/stbl/{kind}"][0]) for kind in ("stsz", "stsc", "stco", "stss", "stts")}
+    _, size, n = table["stsz"]
+    runs = [tuple(table["stsc"][i : i + 3]) for i in range(2, len(table["stsc"]), 3)]
+    read, left = b"", n
+    for number, offset in enumerate(table["stco"][2:], 1):
+        per = [r[1] for r in runs if r[0] <= number][-1]
+        read += stored[offset : offset + size * per]
+        left -= per
+    assert left == 0 and read == payload == found["/mdat"][0]
+    assert table["stts"][1:] == [1, n, 1] and table["stss"][2:] == list(range(1, n + 1, media.GROUP))
+    assert u4(found["/moov/trak/mdia/mdhd"][0])[3:5] == [30, n] and found["/moov/trak/mdia/minf/stbl/stsd"][0][12:16] == b"raw "
+    assert found["/ftyp"][0][:4] == b"isom" and found["/moov/trak/mdia/hdlr"][0][8:12] == b"vide"
 
 
 def test_fragmented_files():
@@ -681,7 +765,5 @@ def test_media_query(spark, tmp_path, docs, empty):
         stored = media.container(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
         assert r["feature"].startswith(f"codec=raw;timescale=30;duration={len(payload) // 64};")
-    shown = spark.createDataFrame([(None,), (bytearray(b"no"),), (bytearray(),)], "b binary").select(media.media_index(F.col("b")).alias("i")).collect()
-    assert shown[0]["i"] is None and shown[1]["i"]["error"] and shown[2]["i"]["codec"] is None
     empty.write.parquet(str(tmp_path / "none/documents.parquet"))
     assert queries.op10_media_index(spark, str(tmp_path / "none")).count() == 0
