@@ -38,6 +38,15 @@ def sign(lo: Column) -> Column:
     return F.lit(1) - F.lit(2) * lo.bitwiseAND(F.lit(1))
 
 
+def signs(row: Column, key: Column, k: int, family: str = "portable", seed: int = 0) -> Column:
+    """``k`` signs of a key that are independent of each other; the first is that of
+    ``hash_pair``. With k = 4 any of them may be multiplied."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    more = (sign(hash_pair(F.concat_ws("/", row.cast("string"), F.lit(str(i))), key, family, seed)["lo"]) for i in range(1, k))
+    return F.array(sign(hash_pair(row, key, family, seed)["lo"]), *more)
+
+
 def unit_hash(seed: Column | int, *parts: Column) -> Column:
     """A 60-bit number for one unit of a stream."""
     return _number(_digest(F.lit(seed) if isinstance(seed, int) else seed, *parts), 1)

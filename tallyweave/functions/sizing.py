@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-#: Memory tiers in KB, and the share of all weight that makes a key heavy.
+#: Memory tiers in KB, and the share of all weight that makes a key heavy.
 TIERS_KB = (128, 256, 512, 1024, 2048, 4096, 8192)
 PHI = 1e-4
-#: Bytes that a memory budget grants each entry or cell.
+#: Bytes that a memory budget grants each entry or cell.
 CELL, MG_ENTRY, SS_ENTRY, LC_ENTRY, SAMPLE_ENTRY = 8, 128, 136, 136, 128
 COUNT_MIN_ROWS, COUNT_SKETCH_ROWS = 5, 7
 
@@ -98,5 +98,5 @@ def gated_ams_for(kb: int, strict: bool = False) -> tuple[Grid, Grid]:
     return Grid(COUNT_MIN_ROWS, gate // (COUNT_MIN_ROWS * CELL)), Grid(rows, (kb * 1024 - gate) // (rows * CELL))
 
 
-#: Bytes of an entry beside two for each character of its key.
+#: Bytes of an entry beside two for each character of its key.
 ENTRY_BYTES = {"misra_gries": 56, "space_saving": 80, "lossy_counting": 72, "concise": 56, "reservoir": 56}

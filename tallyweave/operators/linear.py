@@ -7,7 +7,7 @@ in one table, so that a sweep over shapes is one job. Streams are summed by key
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -21,6 +21,10 @@ from tallyweave.functions.sizing import Grid
 from tallyweave.operators.exact import frequencies, limit_of, with_total
 
 
+#: Bits that places in a stream may have.
+ORD_BITS = 63
+
+
 def _grids(grids: Grid | Mapping[int, Grid]) -> Column:
     """Array of (tag, row, width)."""
     tagged = {0: grids} if isinstance(grids, Grid) else grids
@@ -51,16 +55,58 @@ def count_sketch(counted: DataFrame, grids: Grid | Mapping[int, Grid], family: s
     return _cells(places(counted, grids, family, seed), F.col("total") * F.col("sign")).filter("cell <> 0")
 
 
-def merge(*sketches: DataFrame) -> DataFrame:
-    """The sketch of all streams together; all must have the same grids, family and seed."""
+def merge(*sketches: DataFrame, grids: Grid | Mapping[int, Grid] | None = None) -> DataFrame:
+    """The sketch of all streams together; all must have the same grids, family and seed.
+    With ``grids``, a cell that lies outside of them raises an error."""
     whole = reduce(DataFrame.unionByName, sketches)
+    if grids is not None:
+        wrong = F.raise_error(F.concat(F.lit("a cell outside the grid: "), F.to_json(F.struct("tag", "row", "bucket")))).cast("long")
+        tagged = {0: grids} if isinstance(grids, Grid) else dict(grids)
+        inside = reduce(Column.__or__, ((F.col("tag") == t) & F.col("row").between(0, g.rows - 1) & F.col("bucket").between(0, g.width - 1) for t, g in tagged.items()))
+        whole = whole.withColumn("cell", F.when(inside, F.col("cell")).otherwise(wrong))
     return whole.groupBy("tag", "row", "bucket").agg(F.sum("cell").alias("cell"))
 
 
+#: Cells of all grids together up to which estimates read them as arrays.
+DENSE = 1 << 22
+
+
+def _dense(cells: DataFrame, tagged: Mapping[int, Grid]) -> DataFrame:
+    """One row with an array of cells, zeros included, for each tag and row: ``c<tag>_<row>``."""
+    every = reduce(
+        DataFrame.unionByName,
+        [cells.sparkSession.range(g.width).select(F.lit(t).alias("tag"), F.explode(F.array(*map(F.lit, range(g.rows)))).alias("row"), F.col("id").alias("bucket"), F.lit(0).cast("long").alias("cell")) for t, g in tagged.items()],
+    )
+    whole = every.unionByName(cells.select("tag", "row", "bucket", "cell")).groupBy("tag", "row", "bucket").agg(F.sum("cell").alias("cell"))
+    rows = whole.groupBy("tag", "row").agg(F.sort_array(F.collect_list(F.struct("bucket", "cell"))).alias("all")).select("tag", "row", F.col("all.cell").alias("all"))
+    return rows.agg(*(F.first(F.when((F.col("tag") == t) & (F.col("row") == r), F.col("all")), ignorenulls=True).alias(f"c{t}_{r}") for t, g in tagged.items() for r in range(g.rows)))
+
+
+def _scored(keys: DataFrame, cells: DataFrame, grids: Grid | Mapping[int, Grid], family: str, seed: int, signed: bool, score: Callable[[Column], Column]) -> DataFrame:
+    """``tag``, ``key``, ``estimate`` from the array of a key's cells in all rows.
+
+    The number of cells is known when this is planned. Up to ``DENSE`` of them (32 MB) go to
+    every task and keys stay where they are; for larger grids keys are joined with cells."""
+    tagged = {0: grids} if isinstance(grids, Grid) else dict(grids)
+    if sum(g.rows * g.width for g in tagged.values()) > DENSE:
+        found = places(keys.select("key"), tagged, family, seed).join(cells, ["tag", "row", "bucket"], "left")
+        value = F.coalesce(F.col("cell") * F.col("sign") if signed else F.col("cell"), F.lit(0))
+        return found.groupBy("tag", "key").agg(F.collect_list(value).alias("v")).select("tag", "key", score(F.col("v")).alias("estimate"))
+    rows = max(g.rows for g in tagged.values())
+    hashed = keys.select("key", *(hash_pair(F.lit(r), F.col("key"), family, seed).alias(f"h{r}") for r in range(rows)))
+    met = hashed.crossJoin(F.broadcast(_dense(cells, tagged)))  # one row
+
+    def value(t: int, r: int, g: Grid) -> Column:
+        cell = F.get(F.col(f"c{t}_{r}"), F.pmod(F.col(f"h{r}.hi"), F.lit(g.width)).cast("int"))
+        return cell * sign(F.col(f"h{r}.lo")) if signed else cell
+
+    each = (F.struct(F.lit(t).alias("tag"), score(F.array(*(value(t, r, g) for r in range(g.rows)))).alias("estimate")) for t, g in tagged.items())
+    return met.select("key", F.array(*each).alias("e")).select(F.explode("e").alias("e"), "key").select("e.tag", "key", "e.estimate")
+
+
 def count_min_estimates(keys: DataFrame, cells: DataFrame, grids: Grid | Mapping[int, Grid], family: str = "portable", seed: int = 0) -> DataFrame:
     """``tag``, ``key``, ``estimate``: the least of a key's cells, never below its weight."""
-    found = places(keys.select("key"), grids, family, seed).join(cells, ["tag", "row", "bucket"], "left")
-    return found.groupBy("tag", "key").agg(F.min(F.coalesce("cell", F.lit(0))).alias("estimate"))
+    return _scored(keys, cells, grids, family, seed, False, F.array_min)
 
 
 def upper_median(values: Column) -> Column:
@@ -71,9 +117,7 @@ def upper_median(values: Column) -> Column:
 def count_sketch_estimates(keys: DataFrame, cells: DataFrame, grids: Grid | Mapping[int, Grid], family: str = "portable", seed: int = 0) -> DataFrame:
     """``tag``, ``key``, ``estimate``: the upper median over rows of sign * cell; it can
     be negative. The array that is sorted has one value for each row of the grid."""
-    found = places(keys.select("key"), grids, family, seed).join(cells, ["tag", "row", "bucket"], "left")
-    values = F.collect_list(F.coalesce(F.col("cell") * F.col("sign"), F.lit(0)))
-    return found.groupBy("tag", "key").agg(values.alias("v")).select("tag", "key", upper_median(F.col("v")).alias("estimate"))
+    return _scored(keys, cells, grids, family, seed, True, upper_median)
 
 
 def second_moment(cells: DataFrame) -> DataFrame:
@@ -82,21 +126,25 @@ def second_moment(cells: DataFrame) -> DataFrame:
     return rows.groupBy("tag").agg(F.collect_list("s").alias("v")).select("tag", upper_median(F.col("v")).alias("f2"))
 
 
-def prefix_estimates(stream: DataFrame, grid: Grid, shift: int = 20, family: str = "portable", seed: int = 0) -> DataFrame:
-    """``ord``, ``key``, ``estimate``, ``n``: the Count-Min estimate of each arrival's key
-    and the weight of the stream, both up to and with the arrival. Sums run by ranges
-    of 2**shift places of ``ord``."""
+def prefix_estimates(stream: DataFrame, grid: Grid, shift: int = 20, family: str = "portable", seed: int = 0, signed: bool = False) -> DataFrame:
+    """``ord``, ``key``, ``estimate``, ``n``: the Count-Min (``signed``: Count-Sketch) estimate
+    of each arrival's key and the weight of the stream, both up to and with the arrival.
+    Sums run by ranges of 2**shift places of ``ord``, which must be distinct."""
     ranged = stream.withColumn("range", F.shiftright("ord", shift))
     placed = places(ranged, grid, family, seed)
-    cells = prefix_sums(placed, ["tag", "row", "bucket"], "range", ["ord"], "weight", "before")
-    least = cells.groupBy("ord").agg(F.min(F.col("before") + F.col("weight")).alias("estimate"))
-    running = prefix_sums(ranged, [], "range", ["ord"], "weight", "before")
-    return running.join(least, "ord").select("ord", "key", "estimate", (F.col("before") + F.col("weight")).alias("n"))
+    if signed:
+        placed = placed.withColumn("weight", F.col("weight") * F.col("sign"))
+    cells = prefix_sums(placed, ["tag", "row", "bucket"], "range", ["ord"], "weight", "before", ORD_BITS - shift)
+    upto = F.col("before") + F.col("weight")
+    score = upper_median(F.collect_list(upto * F.col("sign"))) if signed else F.min(upto)
+    scored = cells.groupBy("ord").agg(score.alias("estimate"))
+    running = prefix_sums(ranged, [], "range", ["ord"], "weight", "before", ORD_BITS - shift)
+    return running.join(scored, "ord").select("ord", "key", "estimate", (F.col("before") + F.col("weight")).alias("n"))
 
 
-def candidate_pool(stream: DataFrame, grid: Grid, phi: float, shift: int = 20, family: str = "portable", seed: int = 0) -> DataFrame:
+def candidate_pool(stream: DataFrame, grid: Grid, phi: float, shift: int = 20, family: str = "portable", seed: int = 0, signed: bool = False) -> DataFrame:
     """``key``: keys whose estimate reached phi of the stream so far when they arrived."""
-    reached = prefix_estimates(stream, grid, shift, family, seed).filter(F.col("estimate") >= F.lit(float(phi)) * F.col("n"))
+    reached = prefix_estimates(stream, grid, shift, family, seed, signed).filter(F.col("estimate") >= F.lit(float(phi)) * F.col("n"))
     return reached.select("key").distinct()
 
 
@@ -157,16 +205,20 @@ def heavy(estimates: DataFrame, counted: DataFrame, phi: float) -> DataFrame:
     return with_total(estimates, counted).filter(F.col("estimate") >= limit_of(phi)).drop("n")
 
 
-def by_partition(stream: DataFrame, parts: int, grids: Grid | Mapping[int, Grid], signed: bool = False, family: str = "portable") -> DataFrame:
-    """The sketch as built on ``parts`` partitions and merged: cells by partition first."""
-    part = F.pmod(hash_pair(F.lit("part"), F.col("key"), family)["hi"], F.lit(parts))
-    split = frequencies(stream).withColumn("part", part)
-    placed = places(split, grids, family)
-    value = F.col("total") * F.col("sign") if signed else F.col("total")
-    local = placed.groupBy("part", "tag", "row", "bucket").agg(F.sum(value).alias("cell"))
+def by_partitions(counted: DataFrame, parts: Sequence[int], grid: Grid, signed: bool = False, family: str = "portable") -> DataFrame:
+    """The sketch as built on P partitions and merged, for each P (the ``tag``) in one job:
+    cells by partition first. A key's hashes are taken once for all P."""
+    placed = places(counted, grid, family).drop("tag").withColumn("place", hash_pair(F.lit("part"), F.col("key"), family)["hi"])
+    split = placed.withColumn("tag", F.explode(F.array(*map(F.lit, parts)))).withColumn("part", F.pmod("place", "tag"))
+    local = split.groupBy("tag", "part", "row", "bucket").agg(F.sum(F.col("total") * F.col("sign") if signed else F.col("total")).alias("cell"))
     return merge(local.drop("part"))
 
 
+def by_partition(counted: DataFrame, parts: int, grid: Grid, signed: bool = False, family: str = "portable") -> DataFrame:
+    """The same for one number of partitions, with tag 0."""
+    return by_partitions(counted, [parts], grid, signed, family).withColumn("tag", F.lit(0))
+
+
 def sketch_of(stream: DataFrame, grid: Grid, family: str = "portable") -> DataFrame:
     """Count-Min cells of a raw stream."""
     return count_min(frequencies(stream), grid, family)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ ORACLES: dict[str, str] = {}
 
 PHI, K = 1e-3, 100
 CMS, SKETCH, AMS = Grid(4, 2048), Grid(5, 2048), Grid(5, 64)
-TIERS = (16, 64, 256)
 
 
 def query(sql: str | None = None) -> Callable:
@@ -86,20 +86,44 @@ lc{tag} AS (SELECT key, weight AS estimate FROM (SELECT *, coalesce(sum(weight)
  WHERE weight + before // {window} > n.n // {window})"""
 
 
-def _units(seeds: tuple[int, ...]) -> str:
-    return f"""u AS (SELECT seed, key, ord, {_hash("seed || ':' || ord || ':' || unit", 1)} AS h FROM
- (SELECT key, ord, unnest(range(1, weight + 1)) AS unit FROM s), (SELECT unnest([{", ".join(map(str, seeds))}]) AS seed)),
-lv AS (SELECT seed, key, bit_count((h & -h) - 1)::INTEGER AS level FROM u),
-bl AS (SELECT seed, level, count(*) AS c FROM lv GROUP BY seed, level)"""
+_TIMES = f"[{', '.join(f'{t!r}::DOUBLE' for t in sampling.TIMES)}]"
+
+
+def _units(seeds: tuple[int, ...], size: int) -> str:
+    """``ar`` (seed, key, tm, level): arrivals of units over ``f`` and ``n``."""
+    text = "seed || ':' || piece || ':' || {j} || ':' || key"
+    wait = "(-ln((" + _hash(text, 1) + f"::DOUBLE + 1.0::DOUBLE) / {float(1 << 60)!r}::DOUBLE) / (units - {{j}})::DOUBLE)"
+    enough, most = sampling.enough(size), sampling.MOST
+    return f"""ls AS (SELECT CASE WHEN n.n > {enough} THEN floor(log2(n.n::DOUBLE / {enough}::DOUBLE))::INTEGER ELSE 0 END AS lv FROM n),
+bd AS (SELECT f.key, f.total, lv, 1::BIGINT << greatest(0, lv - 2) AS bound, CASE WHEN lv > 0 THEN {_TIMES}[lv] ELSE 'infinity'::DOUBLE END AS lim FROM f, ls WHERE total > 0),
+pc AS (SELECT *, least(bound, total - piece * bound) AS units FROM (SELECT *, unnest(range((total - 1) // bound + 1)) AS piece FROM bd), (SELECT unnest([{", ".join(map(str, seeds))}]) AS seed)),
+w0 AS (SELECT *, {wait.format(j="0")} AS first FROM pc),
+w1 AS (SELECT *, CASE WHEN units > 1 THEN {wait.format(j="1")} ELSE 'infinity'::DOUBLE END AS second FROM w0 WHERE first < lim),
+w2 AS (SELECT seed, key, piece, j, lim, {wait.format(j="j")} AS wait FROM (SELECT *, unnest(range(least(units, {most}))) AS j FROM w1 WHERE first + second < lim)),
+ar AS (SELECT *, len(list_filter({_TIMES}, lambda t: tm < t))::INTEGER AS level FROM
+ (SELECT seed, key, first AS tm, lim FROM w1 WHERE NOT first + second < lim UNION ALL SELECT seed, key, sum(wait) OVER (PARTITION BY seed, key, piece ORDER BY j) AS tm, lim FROM w2) WHERE tm < lim),
+bl AS (SELECT seed, level, count(*) AS c FROM ar GROUP BY seed, level),
+rk AS (SELECT seed, key, row_number() OVER (PARTITION BY seed ORDER BY tm, key) AS place FROM ar)"""
 
 
 def _concise(size: int, tag: str = "") -> str:
     return f"""t{tag} AS (SELECT seed, min(k)::INTEGER AS least FROM (SELECT seed, k, sum(CASE WHEN level >= k THEN c ELSE 0 END) AS kept
- FROM bl, (SELECT unnest(range(61)) AS k) GROUP BY seed, k) WHERE kept <= {size} GROUP BY seed),
-cs{tag} AS (SELECT seed, key, count(*)::BIGINT AS sample_count, min(1::BIGINT << least) AS t FROM lv JOIN t{tag} USING (seed) WHERE level >= least GROUP BY seed, key),
+ FROM bl, (SELECT unnest(range(61)) AS k), ls WHERE k >= lv GROUP BY seed, k) WHERE kept <= {size} GROUP BY seed),
+cs{tag} AS (SELECT seed, key, count(*)::BIGINT AS sample_count, min(1::BIGINT << least) AS t FROM ar JOIN t{tag} USING (seed) WHERE level >= least GROUP BY seed, key),
 ca{tag} AS (SELECT key, floor(sum(sample_count * t) / 5 + 0.5::DOUBLE)::BIGINT AS estimate FROM cs{tag} GROUP BY key)"""
 
 
+def _reservoir(size: int, tag: str = "") -> str:
+    return f"""rs{tag} AS (SELECT seed, key, count(*) AS sample_count FROM rk WHERE place <= {size} GROUP BY seed, key),
+rm{tag} AS (SELECT seed, sum(sample_count)::BIGINT AS m FROM rs{tag} GROUP BY seed),
+re{tag} AS (SELECT seed, key, sample_count, m, floor(sample_count::DOUBLE * n.n / m + 0.5::DOUBLE)::BIGINT AS estimate FROM rs{tag} JOIN rm{tag} USING (seed), n),
+ra{tag} AS (SELECT key, floor(sum(estimate) / 5 + 0.5::DOUBLE)::BIGINT AS estimate FROM re{tag} GROUP BY key)"""
+
+
+def _ss(capacity: int, tag: str = "") -> str:
+    return f"ss{tag} AS (SELECT key, total AS estimate, 0::BIGINT AS error FROM f ORDER BY total DESC, key LIMIT {capacity})"
+
+
 _REL = "100.0::DOUBLE * abs(estimate - total)::DOUBLE / total::DOUBLE"
 _PCT = "CASE WHEN {1} = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * ({0})::DOUBLE / ({1})::DOUBLE END"
 
@@ -213,7 +237,7 @@ SELECT count(*) AS cells, max(abs(c.cell - m.cell))::BIGINT AS max_abs_diff FROM
 def cms_merge_deviation(spark: SparkSession, folder: str) -> DataFrame:
     stream = streams.document_words(spark, folder)
     whole = linear.count_min(exact.frequencies(stream), CMS).withColumnRenamed("cell", "whole")
-    merged = linear.by_partition(stream, 4, CMS)
+    merged = linear.by_partition(exact.frequencies(stream), 4, CMS)
     both = whole.join(merged, ["tag", "row", "bucket"], "full_outer")
     return both.agg(F.count("*").alias("cells"), F.max(F.abs(F.col("whole") - F.col("cell"))).alias("max_abs_diff"))
 
@@ -230,6 +254,15 @@ def cms_candidate_pool(spark: SparkSession, folder: str) -> DataFrame:
     return linear.candidate_pool(streams.typed_users(spark, folder), _POOL, 0.002, shift=10)
 
 
+@query(
+    f"""WITH {TYPED}, {_places(_POOL, "s")}, e AS (SELECT ord, list_sort(list(up * sgn))[2] AS estimate FROM (SELECT ord, sgn, sum(weight * sgn) OVER (PARTITION BY r, b ORDER BY ord) AS up FROM p) GROUP BY ord),
+n AS (SELECT ord, key, sum(weight) OVER (ORDER BY ord) AS n FROM s)
+SELECT DISTINCT key FROM n JOIN e USING (ord) WHERE estimate >= 0.002::DOUBLE * n"""
+)
+def countsketch_candidate_pool(spark: SparkSession, folder: str) -> DataFrame:
+    return linear.candidate_pool(streams.typed_users(spark, folder), _POOL, 0.002, shift=10, signed=True)
+
+
 @query(f"WITH {WORDS}, {COUNT}, {_sketch(SKETCH)} SELECT r::INTEGER AS row, b AS bucket, cell FROM c WHERE cell <> 0")
 def countsketch_cells(spark: SparkSession, folder: str) -> DataFrame:
     return linear.count_sketch(_words(spark, folder), SKETCH).select("row", "bucket", "cell")
@@ -314,9 +347,101 @@ def mg_merge(spark: SparkSession, folder: str) -> DataFrame:
     return counters.merge_misra_gries(halves[0].unionByName(halves[1]), 300)
 
 
+# Arrivals one by one, as recursive SQL: a step for each row, the summary as a list.
+HOSTS = "s AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS key, page_id % 7 AS weight, page_id AS ord FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL)"
+_SIZE, _WINDOW, _POOL_SHARE = 12, 40, 0.03
+_FIELDS = {"mg": "STRUCT(k VARCHAR, e BIGINT)", "ss": "STRUCT(c BIGINT, k VARCHAR, e BIGINT)", "lc": "STRUCT(k VARCHAR, c BIGINT, e BIGINT)"}
+_HAS, _LEAST = "len(list_filter(st, lambda x: x.k = key)) > 0", "list_min(list_transform(st, lambda x: x.e))"
+_STEPS = {
+    "mg": f"""CASE WHEN weight = 0 THEN st WHEN {_HAS} THEN list_transform(st, lambda x: {{'k': x.k, 'e': x.e + CASE WHEN x.k = key THEN weight ELSE 0 END}})
+ WHEN len(st) < {_SIZE} THEN list_append(st, {{'k': key, 'e': weight}})
+ ELSE list_concat(list_filter(list_transform(st, lambda x: {{'k': x.k, 'e': x.e - least(weight, {_LEAST})}}), lambda x: x.e > 0), CASE WHEN weight > {_LEAST} THEN [{{'k': key, 'e': weight - {_LEAST}}}] ELSE [] END) END""",
+    "ss": f"""CASE WHEN weight = 0 THEN st WHEN {_HAS} THEN list_transform(st, lambda x: {{'c': x.c + CASE WHEN x.k = key THEN weight ELSE 0 END, 'k': x.k, 'e': x.e}})
+ WHEN len(st) < {_SIZE} THEN list_append(st, {{'c': weight, 'k': key, 'e': 0::BIGINT}})
+ ELSE list_append(list_sort(st)[2:], {{'c': list_sort(st)[1].c + weight, 'k': key, 'e': list_sort(st)[1].c}}) END""",
+    "lc": f"""CASE WHEN weight = 0 THEN st ELSE list_filter(CASE WHEN {_HAS} THEN list_transform(st, lambda x: {{'k': x.k, 'c': x.c + CASE WHEN x.k = key THEN weight ELSE 0 END, 'e': x.e}})
+ ELSE list_append(st, {{'k': key, 'c': weight, 'e': n // {_WINDOW}}}) END, lambda x: (n + weight) // {_WINDOW} = n // {_WINDOW} OR x.c + x.e > (n + weight) // {_WINDOW}) END""",
+}
+
+
+def _fold_sql(kind: str) -> str:
+    """``fd`` (i, key, n, st): the summary after each arrival."""
+    empty = f"[]::{_FIELDS[kind]}[]"
+    return f"""{HOSTS}, od AS (SELECT key, weight::BIGINT AS weight, row_number() OVER (ORDER BY ord, key) AS i FROM s),
+fd AS (SELECT 0::BIGINT AS i, ''::VARCHAR AS key, 0::BIGINT AS n, {empty} AS st UNION ALL
+ SELECT i, key, n + weight, ({_STEPS[kind]})::{_FIELDS[kind]}[] FROM (SELECT od.i, od.key, od.weight, fd.n, fd.st FROM fd JOIN od ON od.i = fd.i + 1))"""
+
+
+def _entries(kind: str, fields: str) -> str:
+    return f"WITH RECURSIVE {_fold_sql(kind)}, en AS (SELECT unnest(st) AS x FROM (SELECT st FROM fd ORDER BY i DESC LIMIT 1)) SELECT {fields} FROM en"
+
+
+@query(_entries("mg", "x.k AS key, x.e AS estimate"))
+def mg_fold(spark: SparkSession, folder: str) -> DataFrame:
+    """Misra-Gries of arrivals one by one: its own counters."""
+    return counters.misra_gries(streams.page_hosts(spark, folder), _SIZE, 1).select("key", "estimate")
+
+
+@query(_entries("ss", "x.k AS key, x.c AS estimate, x.e AS error, x.c - x.e AS guaranteed, x.c AS upper"))
+def ss_fold(spark: SparkSession, folder: str) -> DataFrame:
+    rows = counters.space_saving(streams.page_hosts(spark, folder), _SIZE, 1).select("key", "estimate", "error")
+    return counters.with_bounds(rows, "space_saving")
+
+
+@query(_entries("lc", "x.k AS key, x.c AS estimate, x.e AS error, x.c AS guaranteed, x.c + x.e AS upper"))
+def lc_fold(spark: SparkSession, folder: str) -> DataFrame:
+    rows = counters.lossy_counting(streams.page_hosts(spark, folder), _WINDOW, 1).select("key", "estimate", "error")
+    return counters.with_bounds(rows, "lossy_counting")
+
+
+def _pool_sql(kind: str, estimate: str) -> str:
+    return f"""SELECT '{kind}' AS summary, key FROM (WITH RECURSIVE {_fold_sql(kind)}
+SELECT DISTINCT key FROM fd WHERE i > 0 AND coalesce(list_filter(st, lambda x: x.k = key)[1].{estimate}, 0) >= {_POOL_SHARE}::DOUBLE * n)"""
+
+
+@query(" UNION ALL ".join(_pool_sql(k, e) for k, e in (("mg", "e"), ("ss", "c"), ("lc", "c"))))
+def counter_candidate_pools(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that a counter summary found heavy when they arrived."""
+    hosts = streams.page_hosts(spark, folder)
+    kinds = {"mg": lambda: counters.MisraGries(_SIZE), "ss": lambda: counters.SpaceSaving(_SIZE), "lc": lambda: counters.LossyCounting(_WINDOW)}
+    found = [counters.arrival_pool(hosts, make, _POOL_SHARE).select(F.lit(name).alias("summary"), "key") for name, make in kinds.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 _EPSILON = PHI / 4
 
 
+@query(
+    f"""WITH {WORDS}, {COUNT} SELECT unnest(['misra_gries', 'space_saving', 'lossy_counting']) AS summary, n, 0::BIGINT AS above, 0::BIGINT AS below, 0::BIGINT AS missed, TRUE AS bounded FROM n"""
+)
+def fold_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What folds of the partitions promise, held against exact weights: keys whose weight
+    lies above or below their bounds, keys without an entry that weigh more than epsilon * n,
+    and whether no part has more entries than its memory allows."""
+    stream, counted = streams.document_words(spark, folder), _words(spark, folder)
+    mg = counters.misra_gries(stream, sizing.misra_gries_capacity(_EPSILON))
+    ss = counters.space_saving(stream, sizing.space_saving_capacity(_EPSILON))
+    lc = counters.lossy_counting(stream, sizing.lossy_window(_EPSILON))
+    lost = mg.select("part", "floor").distinct().agg(F.coalesce(F.sum("floor"), F.lit(0)).alias("error"))
+    entries = {
+        "misra_gries": (mg, counters.added(mg).crossJoin(F.broadcast(lost)), sizing.misra_gries_capacity(_EPSILON)),  # one row
+        "space_saving": (ss, counters.merge_upper(ss), sizing.space_saving_capacity(_EPSILON)),
+        "lossy_counting": (lc, counters.merge_lossy(lc).drop("upper"), None),
+    }
+    out = []
+    for name, (parts, found, most) in entries.items():
+        held = counters.with_bounds(found, name).join(counted, "key", "full_outer")
+        off = exact.with_total(held, counted).agg(
+            F.max("n").alias("n"),
+            F.coalesce(F.sum((F.col("total") > F.col("upper")).cast("long")), F.lit(0)).alias("above"),
+            F.coalesce(F.sum((F.col("total") < F.col("guaranteed")).cast("long")), F.lit(0)).alias("below"),
+            F.coalesce(F.sum((F.col("upper").isNull() & (F.col("total") > F.lit(_EPSILON) * F.col("n"))).cast("long")), F.lit(0)).alias("missed"),
+        )
+        size = parts.groupBy("part").count().agg(F.coalesce(F.max("count") <= F.lit(most) if most else F.lit(True), F.lit(True)).alias("bounded"))
+        out.append(off.crossJoin(F.broadcast(size)).select(F.lit(name).alias("summary"), "n", "above", "below", "missed", "bounded"))  # one row each
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query(f"WITH {WORDS}, {COUNT}, {HEAVY} SELECT * FROM hh")
 def mg_verified_hh(spark: SparkSession, folder: str) -> DataFrame:
     stream, counted = streams.document_words(spark, folder), _words(spark, folder)
@@ -345,84 +470,169 @@ def lc_verified_hh(spark: SparkSession, folder: str) -> DataFrame:
     return exact.verified(counters.heavy_lower(found, counted, PHI, _EPSILON), counted, PHI)
 
 
-@query(f"WITH {WORDS}, {COUNT}, {_mg(500)} SELECT count(*) AS entries, sum(56 + 2 * length(key))::BIGINT AS bytes FROM mg")
+_KINDS = {"misra_gries": 56, "space_saving": 80, "lossy_counting": 72, "concise": 56, "reservoir": 56}
+
+
+@query(
+    f"""WITH {WORDS}, {COUNT}, {_mg(500)}, {_ss(500)}, {_lc(2000)}, {_units((42,), 500)}, {_concise(500)}, {_reservoir(500)}
+{" UNION ALL ".join(f"SELECT '{k}' AS summary, count(*) AS entries, ({4000 if k == 'reservoir' else 0} + coalesce(sum({_KINDS[k]} + 2 * length(key)), 0))::BIGINT AS bytes FROM {r}" for k, r in zip(_KINDS, ("mg", "ss", "lc", "cs", "rs"), strict=True))}"""
+)
 def summary_memory(spark: SparkSession, folder: str) -> DataFrame:
-    kept = counters.misra_gries_offline(_words(spark, folder), 500)
-    return counters.memory_bytes(kept, "misra_gries").crossJoin(kept.agg(F.count("*").alias("entries")))  # one row each
+    """Entries and bytes of each summary that holds keys."""
+    counted = _words(spark, folder)
+    once = streams.document_words(spark, folder).groupBy("key").agg(F.min("ord").alias("ord"), F.sum("weight").alias("weight"))
+    kept = {
+        "misra_gries": counters.misra_gries_offline(counted, 500),
+        "space_saving": counters.space_saving_offline(counted, 500),
+        "lossy_counting": counters.lossy_counting_unique(once, 2000, 20),
+        "concise": sampling.concise(counted, 500),
+        "reservoir": sampling.reservoir(counted, 500),
+    }
+    out = [counters.memory_bytes(rows, kind, 500 if kind == "reservoir" else 0).withColumn("summary", F.lit(kind)) for kind, rows in kept.items()]
+    return reduce(DataFrame.unionByName, out).select("summary", "entries", "bytes")
 
 
 # --- samples ------------------------------------------------------------------------------------
 
 
-@query(f"WITH {WORDS}, {_units((42,))}, {_concise(4096)} SELECT key, sample_count, t FROM cs")
+@query(f"WITH {WORDS}, {COUNT}, {_units((42,), 4096)}, {_concise(4096)} SELECT key, sample_count, t FROM cs")
 def concise_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.concise(streams.document_words(spark, folder), 4096).select("key", "sample_count", "t")
+    return sampling.concise(_words(spark, folder), 4096).select("key", "sample_count", "t")
 
 
-@query(f"WITH {TYPED}, {COUNT}, {_units((42,))}, {_concise(8192)} SELECT key, sample_count * t AS estimate FROM cs, n WHERE sample_count * t >= ceil({PHI}::DOUBLE * n.n)::BIGINT")
+@query(f"WITH {TYPED}, {COUNT}, {_units((42,), 8192)}, {_concise(8192)} SELECT key, sample_count * t AS estimate FROM cs, n WHERE sample_count * t >= ceil({PHI}::DOUBLE * n.n)::BIGINT")
 def concise_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    stream = streams.typed_users(spark, folder)
-    found = sampling.concise_estimates(sampling.concise(stream, 8192))
-    return sampling.heavy(found, stream, PHI).select("key", "estimate")
+    counted = exact.frequencies(streams.typed_users(spark, folder))
+    found = sampling.concise_estimates(sampling.concise(counted, 8192))
+    return sampling.heavy(found, counted, PHI).select("key", "estimate")
 
 
-def _reservoir(size: int, seed: int = 42) -> str:
-    return f"""{_units((seed,))}, rs AS (SELECT key, count(*) AS sample_count FROM (SELECT key FROM u ORDER BY h, ord LIMIT {size}) GROUP BY key), rm AS (SELECT sum(sample_count)::BIGINT AS m FROM rs)"""
-
-
-@query(f"WITH {WORDS}, {_reservoir(2000)} SELECT key, sample_count, m FROM rs, rm")
+@query(f"WITH {WORDS}, {COUNT}, {_units((42,), 2000)}, {_reservoir(2000)} SELECT key, sample_count, m FROM re")
 def reservoir_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.reservoir(streams.document_words(spark, folder), 2000)
+    return sampling.reservoir(_words(spark, folder), 2000).select("key", "sample_count", "m")
 
 
-@query(f"WITH {SUPPLIERS}, {COUNT}, {_reservoir(4096)} SELECT key, floor(sample_count::DOUBLE * n.n / m + 0.5::DOUBLE)::BIGINT AS estimate FROM rs, rm, n")
+@query(f"WITH {SUPPLIERS}, {COUNT}, {_units((42,), 4096)}, {_reservoir(4096)} SELECT key, estimate FROM re")
 def reservoir_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    stream = streams.suppliers(spark, folder)
-    return sampling.reservoir_estimates(sampling.reservoir(stream, 4096), stream)
+    counted = exact.frequencies(streams.suppliers(spark, folder))
+    return sampling.reservoir_estimates(sampling.reservoir(counted, 4096), counted).select("key", "estimate")
 
 
-@query(f"WITH {WORDS}, {COUNT}, {_units(sampling.SEEDS)}, {_concise(2048)} SELECT key, estimate FROM ca")
+@query(f"WITH {WORDS}, {COUNT}, {_units(sampling.SEEDS, 2048)}, {_concise(2048)} SELECT key, estimate FROM ca")
 def seed_averaged_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    sample = sampling.concise(streams.document_words(spark, folder), 2048, sampling.SEEDS)
+    sample = sampling.concise(_words(spark, folder), 2048, sampling.SEEDS)
     return sampling.averaged(sampling.concise_estimates(sample), len(sampling.SEEDS)).select("key", "estimate")
 
 
+_HUGE = 1_000_000_000
+
+
+@query(
+    f"""WITH {SUPPLIERS}, f AS (SELECT key, sum(weight * {_HUGE})::BIGINT AS total FROM s GROUP BY key), n AS (SELECT coalesce(sum(total), 0)::BIGINT AS n FROM f), {_units((42,), 1024)}, {_concise(1024)}, {_reservoir(1024)}
+SELECT 'concise' AS sample, key, sample_count, sample_count * t AS estimate FROM cs UNION ALL SELECT 'reservoir', key, sample_count, estimate FROM re"""
+)
+def heavy_weight_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of a stream of some 10**15 units."""
+    counted = exact.frequencies(streams.suppliers(spark, folder).withColumn("weight", F.col("weight") * _HUGE))
+    concise = sampling.concise(counted, 1024).select(F.lit("concise").alias("sample"), "key", "sample_count", (F.col("sample_count") * F.col("t")).alias("estimate"))
+    drawn = sampling.reservoir(counted, 1024)
+    estimates = sampling.reservoir_estimates(drawn, counted).select("key", "estimate")
+    return concise.unionByName(drawn.join(estimates, "key").select(F.lit("reservoir").alias("sample"), "key", "sample_count", "estimate"))
+
+
 # --- experiments ----------------------------------------------------------------------------------
 
 
-def _tier_parts(kb: int, concise: bool = True) -> tuple[str, list[tuple[str, str, float]]]:
-    """CTEs of all algorithms at a tier; (algorithm, relation, epsilon)."""
-    capacity, mg = sizing.misra_gries_for(kb)
-    window, lc = sizing.lossy_for(kb)
-    ctes = [_cms(sizing.count_min_for(kb), f"m{kb}"), _sketch(sizing.count_sketch_for(kb), f"k{kb}"), _mg(capacity, f"{kb}"), _lc(window, f"{kb}")]
-    rows = [("count_min", f"em{kb}", 0.0), ("count_sketch", f"ek{kb}", 0.0), ("misra_gries", f"mg{kb}", mg), ("lossy_counting", f"lc{kb}", lc)]
-    if concise:
-        ctes.append(_concise(sizing.sample_for(kb), f"{kb}"))
-        rows.append(("concise", f"ca{kb}", 0.0))
+def _hashed(rows: int) -> str:
+    """``hk``: the hashes of each key and row, taken once for all grids."""
+    text = "r || ':' || key"
+    return f"""hk AS MATERIALIZED (SELECT key, total, r, {_hash("d", 1).replace("md5(d)", "d")} AS hi, 1 - 2 * ({_hash("d", 17).replace("md5(d)", "d")} & 1) AS sgn
+ FROM (SELECT key, total, r, md5({text}) AS d FROM f, (SELECT unnest(range({rows})) AS r)))"""
+
+
+def _grid_parts(kb: int) -> str:
+    """Estimates ``em<kb>`` of Count-Min and ``ek<kb>`` of Count-Sketch at a tier."""
+    low, sketch = sizing.count_min_for(kb), sizing.count_sketch_for(kb)
+    return f"""pm{kb} AS (SELECT key, total, r, hi % {low.width} AS b FROM hk WHERE r < {low.rows}), cm{kb} AS (SELECT r, b, sum(total)::BIGINT AS cell FROM pm{kb} GROUP BY r, b),
+em{kb} AS (SELECT key, min(cell)::BIGINT AS estimate FROM pm{kb} JOIN cm{kb} USING (r, b) GROUP BY key),
+pk{kb} AS (SELECT key, total, r, sgn, hi % {sketch.width} AS b FROM hk WHERE r < {sketch.rows}), ck{kb} AS (SELECT r, b, sum(total * sgn)::BIGINT AS cell FROM pk{kb} GROUP BY r, b),
+ek{kb} AS (SELECT key, (list_sort(list(sgn * cell))[{sketch.rows // 2 + 1}])::BIGINT AS estimate FROM pk{kb} JOIN ck{kb} USING (r, b) GROUP BY key)"""
+
+
+def _tier_parts(tiers: tuple[int, ...]) -> tuple[str, list[tuple[str, int, str, float]]]:
+    """CTEs of all algorithms but AMS at some tiers; (algorithm, KB, relation, epsilon)."""
+    ctes = [_hashed(max(sizing.COUNT_MIN_ROWS, sizing.COUNT_SKETCH_ROWS)), _units(sampling.SEEDS, max(map(sizing.sample_for, tiers)))]
+    rows = []
+    for kb in tiers:
+        capacity, mg = sizing.misra_gries_for(kb)
+        window, lc = sizing.lossy_for(kb)
+        size = sizing.sample_for(kb)
+        ctes += [_grid_parts(kb), _mg(capacity, f"{kb}"), _ss(sizing.space_saving_for(kb)[0], f"{kb}"), _lc(window, f"{kb}"), _concise(size, f"{kb}"), _reservoir(size, f"{kb}")]
+        relations = ("em", "ek", "mg", "ss", "lc", "ca", "ra")
+        epsilons = {"misra_gries": mg, "lossy_counting": lc}
+        rows += [(name, kb, f"{r}{kb}", epsilons.get(name, 0.0)) for name, r in zip(experiments.ALL_BUT_AMS, relations, strict=True)]
     return ", ".join(ctes), rows
 
 
+#: Share that makes a key heavy in the sweeps.
+_SWEPT = sizing.PHI
+
+
 def _sweep_sql(lowered: bool) -> str:
-    found = [_tier_parts(kb) for kb in TIERS]
+    ctes, rows = _tier_parts(sizing.TIERS_KB)
     parts = []
-    for kb, (_, rows) in zip(TIERS, found, strict=True):
-        for name, relation, epsilon in rows:
-            limit = f"ceil({PHI}::DOUBLE * n.n)::BIGINT"
-            if lowered and epsilon:
-                limit = f"greatest(1, ceil(greatest(0.0::DOUBLE, {PHI}::DOUBLE - {epsilon!r}::DOUBLE) * n.n)::BIGINT)"
-            parts.append(f"SELECT '{name}' AS algorithm, {kb} AS memory_kb, key, estimate FROM {relation}, n WHERE estimate >= {limit}")
-    return f"""WITH {WORDS}, {COUNT}, {HEAVY}, {_units(sampling.SEEDS)}, {", ".join(x for x, _ in found)},
+    for name, kb, relation, epsilon in rows:
+        limit = f"ceil({_SWEPT!r}::DOUBLE * n.n)::BIGINT"
+        if lowered and epsilon:
+            limit = f"greatest(1, ceil(greatest(0.0::DOUBLE, {_SWEPT!r}::DOUBLE - {epsilon!r}::DOUBLE) * n.n)::BIGINT)"
+        parts.append(f"SELECT '{name}' AS algorithm, {kb} AS memory_kb, key, estimate FROM {relation}, n WHERE estimate >= {limit}")
+    return f"""WITH {WORDS}, {COUNT}, {HEAVY.replace(f"{PHI}::DOUBLE", f"{_SWEPT!r}::DOUBLE")}, {ctes},
 rep AS ({" UNION ALL ".join(parts)}) {_quality("rep", "hh", "algorithm, memory_kb,")}"""
 
 
 @query(_sweep_sql(True))
 def memory_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    return experiments.memory_sweep(streams.document_words(spark, folder), TIERS, PHI)
+    return experiments.memory_sweep(streams.document_words(spark, folder))
 
 
 @query(_sweep_sql(False))
 def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    return experiments.threshold_sweep(streams.document_words(spark, folder), TIERS, PHI)
+    return experiments.threshold_sweep(streams.document_words(spark, folder))
+
+
+_OWN_AMS, _OWN_GATE = Grid(3, 32), Grid(3, 4096)
+_OWN = {"count_min": "e", "count_sketch": "eo", "misra_gries": "mg", "space_saving": "ss", "lossy_counting": "lc", "concise": "ca", "reservoir": "ra", "ams": "gt"}
+
+
+def _own_sql() -> str:
+    capacity, window = sizing.misra_gries_capacity(_EPSILON), sizing.lossy_window(_EPSILON)
+    heavy = f"ceil({PHI}::DOUBLE * n.n)::BIGINT"
+    lower = f"greatest(1, ceil(greatest(0.0::DOUBLE, {PHI - _EPSILON!r}::DOUBLE) * n.n)::BIGINT)"
+    parts = [f"SELECT '{name}' AS algorithm, key, estimate FROM {r}, n WHERE estimate >= {lower if name in ('misra_gries', 'lossy_counting') else heavy}" for name, r in _OWN.items()]
+    return f"""WITH {WORDS}, {COUNT}, {HEAVY}, {_cms(CMS)}, {_sketch(SKETCH, "o")}, {_mg(capacity)}, {_ss(sizing.space_saving_capacity(_EPSILON))}, {_lc(window)},
+{_units(sampling.SEEDS, 4096)}, {_concise(4096)}, {_reservoir(4096)}, {_cms(_OWN_GATE, "g")}, {_ams(_OWN_AMS, _OWN_AMS.width)},
+gt AS (SELECT key, ae.estimate FROM ae JOIN eg USING (key), n WHERE eg.estimate >= {heavy}),
+rep AS ({" UNION ALL ".join(parts)}) {_quality("rep", "hh", "algorithm,")}"""
+
+
+@query(_own_sql())
+def baseline_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Each algorithm with parameters of its own against the exact heavy hitters."""
+    stream, counted = streams.document_words(spark, folder), experiments.reused(_words(spark, folder))
+    once = stream.groupBy("key").agg(F.min("ord").alias("ord"), F.sum("weight").alias("weight"))
+    seeds = len(sampling.SEEDS)
+    found = {
+        "count_min": linear.heavy(linear.count_min_estimates(counted, linear.count_min(counted, CMS), CMS), counted, PHI),
+        "count_sketch": linear.heavy(linear.count_sketch_estimates(counted, linear.count_sketch(counted, SKETCH), SKETCH), counted, PHI),
+        "misra_gries": counters.heavy_lower(counters.misra_gries_offline(counted, sizing.misra_gries_capacity(_EPSILON)), counted, PHI, _EPSILON),
+        "space_saving": counters.heavy_upper(counters.space_saving_offline(counted, sizing.space_saving_capacity(_EPSILON)), counted, PHI),
+        "lossy_counting": counters.heavy_lower(counters.lossy_counting_unique(once, sizing.lossy_window(_EPSILON), 20), counted, PHI, _EPSILON),
+        "concise": sampling.heavy(sampling.averaged(sampling.concise_estimates(sampling.concise(counted, 4096, sampling.SEEDS)), seeds), counted, PHI),
+        "reservoir": sampling.heavy(sampling.averaged(sampling.reservoir_estimates(sampling.reservoir(counted, 4096, sampling.SEEDS), counted), seeds), counted, PHI),
+        "ams": linear.gated_ams(counted, _OWN_GATE, _OWN_AMS, PHI),
+    }
+    reported = reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("algorithm"), "key", "estimate") for name, rows in found.items()])
+    return metrics.set_quality(reported, exact.heavy_hitters(counted, PHI), ["algorithm"])
 
 
 @query(f"WITH {WORDS}, {COUNT}, {HEAVY}, {_cms(CMS)}, rep AS (SELECT key, estimate FROM e, n WHERE estimate >= ceil({PHI}::DOUBLE * n.n)::BIGINT) {_quality('rep', 'hh')}")
@@ -432,8 +642,9 @@ def hh_quality(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.set_quality(found, exact.heavy_hitters(counted, PHI))
 
 
-_VARIANTS = {"zipf08": 0.8, "zipf12": 1.2}
-_ZIPF = (20_000, 200_000, 5_000)
+_VARIANTS = {f"zipf{synthetic.tag(x)}": x for x in synthetic.EXPONENTS}
+_ZIPF = (synthetic.KEYS, synthetic.TOTAL, synthetic.KEPT)
+_TOP_KB, _TOP = 1024, 100
 
 
 def _zipf_sql(exponent: float) -> str:
@@ -446,8 +657,8 @@ def _zipf_sql(exponent: float) -> str:
 def _topk_sql(kb: int, k: int) -> str:
     out = []
     for name, source in [*((n, _zipf_sql(s)) for n, s in _VARIANTS.items()), ("words", WORDS)]:
-        ctes, rows = _tier_parts(kb, concise=False)
-        best = " UNION ALL ".join(f"(SELECT '{a}' AS algorithm, key, estimate FROM (SELECT * FROM {r} ORDER BY estimate DESC, key LIMIT {k}) WHERE estimate > 0)" for a, r, _ in rows)
+        ctes, rows = _tier_parts((kb,))
+        best = " UNION ALL ".join(f"(SELECT '{a}' AS algorithm, key, estimate FROM (SELECT * FROM {r} ORDER BY estimate DESC, key LIMIT {k}) WHERE estimate > 0)" for a, _, r, _ in rows)
         quality = _quality("rep", "hh", "algorithm,")
         out.append(f"SELECT *, '{name}' AS variant FROM (WITH {source}, {COUNT}, hh AS (SELECT key, total FROM f ORDER BY total DESC, key LIMIT {k}), {ctes}, rep AS ({best}) {quality})")
     return f"""SELECT algorithm, variant, reported_count AS top_k, true_count AS true_k, tp AS overlap, precision_pct, recall_pct, f1_pct, mean_rel_error_pct, max_rel_error_pct
@@ -459,13 +670,13 @@ def _variants(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return made | {"words": streams.document_words(spark, folder)}
 
 
-@query(_topk_sql(16, 50))
+@query(_topk_sql(_TOP_KB, _TOP))
 def topk_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return experiments.topk_quality(_variants(spark, folder), 50, 16)
+    return experiments.topk_quality(_variants(spark, folder), _TOP, _TOP_KB)
 
 
 @query(
-    f"""WITH q AS ({_topk_sql(16, 50)}) SELECT algorithm, round(min(f1_pct) FILTER (variant <> 'words'), 6) AS min_f1_pct, round(avg(f1_pct) FILTER (variant <> 'words'), 6) AS mean_f1_pct,
+    f"""WITH q AS ({_topk_sql(_TOP_KB, _TOP)}) SELECT algorithm, round(min(f1_pct) FILTER (variant <> 'words'), 6) AS min_f1_pct, round(avg(f1_pct) FILTER (variant <> 'words'), 6) AS mean_f1_pct,
  round(max(f1_pct) FILTER (variant <> 'words') - min(f1_pct) FILTER (variant <> 'words'), 6) AS f1_spread_pct, round(stddev_pop(f1_pct) FILTER (variant <> 'words'), 4) AS f1_std_pct,
  round(max(max_rel_error_pct) FILTER (variant <> 'words'), 6) AS max_rel_error_pct, round(max(f1_pct) FILTER (variant = 'words'), 6) AS real_f1_pct FROM q GROUP BY algorithm"""
 )
@@ -473,7 +684,7 @@ def robustness_summary(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.robustness(topk_quality(spark, folder), "words")
 
 
-_PARTITIONS = (1, 2, 4)
+_PARTITIONS = (1, 2, 4, 8, 16)
 
 
 def _partition_sql(kb: int, k: int) -> str:
@@ -498,21 +709,39 @@ def partition_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return experiments.partition_sweep(streams.document_words(spark, folder), _PARTITIONS, 64)
 
 
-@query()
+def _counter_partition_sql(kb: int, k: int) -> str:
+    capacity = sizing.misra_gries_for(kb)[0]
+    cut = "total - coalesce(max(CASE WHEN place = {0} THEN total END) OVER (PARTITION BY {1}), 0)"
+    place = "row_number() OVER (PARTITION BY {0} ORDER BY total DESC, key) AS place"
+    local, whole = "p, part", "p"
+    return f"""WITH {WORDS}, {COUNT}, best AS (SELECT key, total FROM f ORDER BY total DESC, key LIMIT {k}),
+q AS (SELECT p, {_hash("'part' || ':' || ord", 1)} % p AS part, key, sum(weight)::BIGINT AS total FROM s, (SELECT unnest([{", ".join(map(str, _PARTITIONS))}]) AS p) GROUP BY ALL),
+q2 AS (SELECT *, {cut.format(capacity + 1, local)} AS estimate FROM (SELECT *, {place.format(local)} FROM q)),
+m AS (SELECT p, key, sum(estimate)::BIGINT AS total FROM q2 WHERE place <= {capacity + 1} AND estimate > 0 GROUP BY p, key),
+m2 AS (SELECT *, {cut.format(capacity + 1, whole)} AS left_ FROM (SELECT *, {place.format(whole)} FROM m)),
+e AS (SELECT a.p AS partitions, best.key, best.total, coalesce(m2.left_, 0)::BIGINT AS estimate FROM best CROSS JOIN (SELECT unnest([{", ".join(map(str, _PARTITIONS))}]) AS p) a
+ LEFT JOIN m2 ON m2.p = a.p AND m2.key = best.key AND m2.left_ > 0)
+SELECT 'misra_gries' AS algorithm, e.partitions, count(*) FILTER (e.estimate > 0) AS captured, round(avg(100.0::DOUBLE * abs(e.estimate - e.total)::DOUBLE / e.total), 6) AS mean_rel_error_pct,
+ round(max(100.0::DOUBLE * abs(e.estimate - e.total)::DOUBLE / e.total), 6) AS max_rel_error_pct, max(abs(e.estimate - o.estimate))::BIGINT AS max_abs_diff
+FROM e JOIN (SELECT key, estimate FROM e WHERE partitions = 1) o USING (key) GROUP BY e.partitions"""
+
+
+@query(_counter_partition_sql(64, 100))
 def counter_partition_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return experiments.counter_partition_sweep(streams.document_words(spark, folder), _PARTITIONS, 64)
 
 
-@query()
+@query(
+    f"""WITH {TYPED}, {COUNT}, {HEAVY}, {", ".join(_ss(sizing.space_saving_for(kb)[0], str(kb)) for kb in (16, 64, 256))},
+rep AS ({" UNION ALL ".join(f"SELECT 'space_saving' AS algorithm, {kb} AS memory_kb, key, estimate FROM ss{kb}, n WHERE estimate >= ceil({PHI}::DOUBLE * n.n)::BIGINT" for kb in (16, 64, 256))}) {_quality("rep", "hh", "algorithm, memory_kb,")}"""
+)
 def ss_memory_sweep(spark: SparkSession, folder: str) -> DataFrame:
-    return experiments.memory_sweep(streams.document_words(spark, folder), TIERS, PHI, ("space_saving",))
+    return experiments.memory_sweep(streams.typed_users(spark, folder), (16, 64, 256), PHI, ("space_saving",))
 
 
 @query(
-    f"""WITH {SUPPLIERS}, {COUNT}, hh AS (SELECT key, total FROM f, n WHERE total >= ceil(0.01::DOUBLE * n.n)::BIGINT),
-{", ".join(f"r{s} AS (WITH {_reservoir(2048, s)} SELECT key, floor(sample_count::DOUBLE * (SELECT n FROM n) / m + 0.5::DOUBLE)::BIGINT AS estimate FROM rs, rm)" for s in sampling.SEEDS)},
-av AS (SELECT key, floor(sum(estimate) / 5 + 0.5::DOUBLE)::BIGINT AS estimate FROM ({" UNION ALL ".join(f"SELECT * FROM r{s}" for s in sampling.SEEDS)}) GROUP BY key),
-rep AS (SELECT 'reservoir' AS algorithm, 256 AS memory_kb, key, estimate FROM av, n WHERE estimate >= ceil(0.01::DOUBLE * n.n)::BIGINT) {_quality("rep", "hh", "algorithm, memory_kb,")}"""
+    f"""WITH {SUPPLIERS}, {COUNT}, hh AS (SELECT key, total FROM f, n WHERE total >= ceil(0.01::DOUBLE * n.n)::BIGINT), {_units(sampling.SEEDS, 2048)}, {_reservoir(2048)},
+rep AS (SELECT 'reservoir' AS algorithm, 256 AS memory_kb, key, estimate FROM ra, n WHERE estimate >= ceil(0.01::DOUBLE * n.n)::BIGINT) {_quality("rep", "hh", "algorithm, memory_kb,")}"""
 )
 def reservoir_memory_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return experiments.memory_sweep(streams.suppliers(spark, folder), (256,), 0.01, ("reservoir",))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,12 +24,31 @@ def write_stream(stream: DataFrame, path: str) -> None:
     stream.write.mode("overwrite").parquet(path)
 
 
-def upsert_metrics(metrics: DataFrame, path: str) -> None:
-    """Replaces the rows of the algorithms in ``metrics`` and keeps all others."""
-    writer = metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def upsert_metrics(metrics: DataFrame, path: str, keys: Sequence[str] = ("algorithm",)) -> None:
+    """Replaces the rows with the same ``keys`` (``algorithm`` and parameters) as one in
+    ``metrics`` and keeps all others. Only the algorithms in ``metrics`` are rewritten."""
+    spark, new = metrics.sparkSession, metrics
+    try:
+        old = spark.read.schema(metrics.schema).parquet(path)
+    except AnalysisException:  # the first write
+        old = None
+    if old is not None:
+        mine = metrics.select("algorithm").distinct()
+        same = reduce(Column.__and__, (old[k].eqNullSafe(metrics[k]) for k in keys))
+        new = old.join(mine, "algorithm", "left_semi").join(metrics, same, "left_anti").unionByName(metrics)
+    writer = new.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("algorithm").parquet(path)
 
 
+def write_comparison(metrics: DataFrame, folder: str, keys: Sequence[str] = ("algorithm",)) -> None:
+    """Upserts ``metrics`` into a table, and writes it as one CSV for each algorithm and one
+    of all, for comparison."""
+    upsert_metrics(metrics, f"{folder}/metrics", keys)
+    whole = metrics.sparkSession.read.schema(metrics.schema).parquet(f"{folder}/metrics").select(*metrics.columns)
+    whole.coalesce(1).write.mode("overwrite").option("header", True).partitionBy("algorithm").csv(f"{folder}/by_algorithm")
+    write_report(whole.orderBy(*keys), f"{folder}/comparison")
+
+
 def as_text(metrics: DataFrame) -> DataFrame:
     """Metrics as lines ``name: value``, one text for each row."""
     parts = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in metrics.columns]

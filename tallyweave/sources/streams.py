@@ -34,9 +34,13 @@ def stream(df: DataFrame, key: Column, weight: Column | int = 1, order: Column |
 
 
 def words(df: DataFrame, text: str = "text", number: Column | None = None) -> DataFrame:
-    """The words of a text column, each of weight 1, in order of row number and place."""
+    """The words of a text column, each of weight 1, in order of row number and place. Row
+    numbers beyond 2**39 and texts of over ``WORDS`` words have no place in ``ord``: an error."""
     found = df.select((F.lit(0) if number is None else number).alias("n"), F.posexplode(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("at", "key"))
-    return found.select("key", F.lit(1).cast("long").alias("weight"), (F.col("n").cast("long") * WORDS + F.col("at")).alias("ord"))
+    n = F.col("n").cast("long")
+    fits = F.coalesce((F.abs(n) < (1 << 39)) & (F.col("at") < WORDS), F.lit(True))
+    place = F.when(fits, n * WORDS + F.col("at")).otherwise(F.raise_error(F.lit("no place in the order of the stream")).cast("long"))
+    return found.select("key", F.lit(1).cast("long").alias("weight"), place.alias("ord"))
 
 
 def document_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,9 +48,15 @@ def document_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_words(spark: SparkSession, folder: str) -> DataFrame:
+    """In order of conversation, turn and place; turns beyond 1,024 mix with the next one's."""
     return words(table(spark, folder, "conversations"), number=F.col("conv_id") * 1024 + F.col("turn"))
 
 
+def page_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """Weighted by a rule, from 0 to 6."""
+    return stream(table(spark, folder, "pages"), F.regexp_extract("url", "://([^/]+)", 1), F.col("page_id") % 7, F.col("page_id"))
+
+
 def users(spark: SparkSession, folder: str) -> DataFrame:
     return stream(table(spark, folder, "events"), F.col("user_id"), 1, F.col("event_id"))
 
