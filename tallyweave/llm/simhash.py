@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm._shared import Scratch, WordFilter, components, join_copies, row_marks
@@ -69,15 +69,11 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _byte_masks() -> list[int]:
-    """The bits of each positional byte, as BIGINT."""
-    return [255 << (8 * i) if i < BYTES - 1 else -(1 << 56) for i in range(BYTES)]
-
-
 def shared_bytes(a: Column, b: Column) -> Column:
     """Tally of the positions at which two fingerprints hold the same byte."""
     differ = a.bitwiseXOR(b)
-    return sum((F.when(differ.bitwiseAND(F.lit(m)) == 0, 1).otherwise(0) for m in _byte_masks()), F.lit(0))
+    masks = (255 << (8 * i) if i < BYTES - 1 else -(1 << 56) for i in range(BYTES))
+    return sum((F.when(differ.bitwiseAND(F.lit(m)) == 0, 1).otherwise(0) for m in masks), F.lit(0))
 
 
 def _slots(fp: Column) -> list[Column]:
@@ -90,26 +86,26 @@ def _postings(fps: DataFrame) -> DataFrame:
     bytes, by its number."""
     slots = fps.select(F.explode(F.array(*_slots(F.col("fp")))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
     every = fps.sparkSession.range(256 * BYTES).select(F.col("id").cast("int").alias("slot")).join(F.broadcast(slots), "slot", "left")
-    listed = F.sort_array(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n"))))
-    return every.agg(F.transform(listed, lambda x: x["n"]).alias("counts"))
+    return every.agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n")))).alias("all")).select(F.col("all.n").alias("counts"))
 
 
-def _terms(fp: Column, counts: Column, distance: int) -> Column:
-    """Postings in which a fingerprint is listed: each ``TOGETHER`` of its ``TOGETHER +
-    distance`` rarest positional bytes, as a mask of their bits and these bits.
+def _index(fps: DataFrame, distance: int) -> DataFrame:
+    """Postings in which a fingerprint is listed, ``mask, bytes, fp``: each ``TOGETHER`` of
+    its ``TOGETHER + distance`` rarest positional bytes, as a mask of their bits and these bits.
 
     A posting of one byte would hold 1/256 of all fingerprints, so it is split by further
     bytes. Bytes are ranked by one order for all, the length of their postings. Two
     fingerprints that share all but ``distance`` of their bytes have the first ``TOGETHER``
     they share among so many first ones of either, so they meet in a posting.
     """
-    ranked = F.array_sort(
-        F.array(*(F.struct(F.get(counts, slot).alias("n"), slot.alias("slot"), F.lit(m).alias("mask")) for slot, m in zip(_slots(fp), _byte_masks(), strict=True)))
-    )
-    several = []
-    for chosen in combinations(range(TOGETHER + distance), TOGETHER):
-        several.append(reduce(Column.bitwiseOR, (F.get(ranked, F.lit(i))["mask"] for i in chosen)))
-    return F.transform(F.array(*several), lambda m: F.struct(m.alias("mask"), fp.bitwiseAND(m).alias("bytes")))
+    counted = fps.crossJoin(F.broadcast(_postings(fps)))  # one row of 2,048 numbers
+    ranks = F.sort_array(F.array(*(F.get(F.col("counts"), slot) * 2048 + slot for slot in _slots(F.col("fp")))))
+    rarest = range(TOGETHER + distance)
+    masks = (F.expr(f"shiftleft(255L, cast((ranks[{i}] & 2047) >> 8 AS INT) * 8)").alias(f"m{i}") for i in rarest)
+    masked = counted.select("fp", ranks.alias("ranks")).select("fp", *masks)
+    each = [reduce(Column.bitwiseOR, (F.col(f"m{i}") for i in some)) for some in combinations(rarest, TOGETHER)]
+    listed = masked.select("fp", F.explode(F.array(*each)).alias("mask"))
+    return listed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp")
 
 
 def _masked_links(values: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -143,7 +139,7 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 2, long_list: int =
     """Links ``(a, b)`` between distinct fingerprints ``fp``: enough of those at
     ``distance`` bits or fewer (2 at most) to keep what is connected connected.
 
-    The inverted index lists fingerprints by positional bytes (``_terms``). Two that meet
+    The inverted index lists fingerprints by positional bytes (``_index``). Two that meet
     in a posting of up to ``long_list`` entries are a candidate pair; its shared positional
     bytes are tallied, and only pairs that reach the least a link must have, 8 - distance,
     are verified by their bits. A longer posting, such as that of thousands of near copies,
@@ -156,10 +152,8 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 2, long_list: int =
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
-    counted = fps.crossJoin(F.broadcast(_postings(fps)))  # one row of 2,048 numbers
-    index = counted.select("fp", F.explode(_terms(F.col("fp"), F.col("counts"), distance)).alias("t")).select("t.mask", "t.bytes", "fp")
-    lengths = index.groupBy("mask", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    index = scratch.hold(index.join(lengths, ["mask", "bytes"]))
+    length = F.count("*").over(Window.partitionBy("mask", "bytes"))
+    index = scratch.hold(_index(fps, distance).withColumn("n", length).filter("n > 1"))
     short = index.filter(F.col("n") <= long_list).select("mask", "bytes", "fp")
     a, b = F.col("l.fp"), F.col("r.fp")
     met = (F.col("l.mask") == F.col("r.mask")) & (F.col("l.bytes") == F.col("r.bytes")) & (a < b)
