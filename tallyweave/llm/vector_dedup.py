@@ -1,22 +1,23 @@
 """Near-duplicate vectors over a robust-pruned flat graph.
 
-Vectors of a label are dealt to overlapping clusters. Each cluster (a shard) builds
-a flat graph by batched insertion: greedy search on the graph so far, robust pruning
-of what the search met, reverse edges. The shards' adjacency lists are united, and
-every vector searches its shards from their medoids; once within range the search
-expands over all neighbours in range. Links are verified in double precision, and the
-recall of the result is audited against brute force.
+Vectors of a label are dealt to overlapping clusters, which are split again until each is
+of a shard's size. Each shard builds a flat graph by batched insertion: greedy search on the
+graph so far, robust pruning of what the search met, reverse edges. The shards' adjacency
+lists are united, and every vector searches its shards from their medoids; once within range
+the search expands over all neighbours in range. Where it meets a vector that is in other
+shards too, it goes on in these, from that vector, until it meets no new shard. Links are
+verified in double precision, and the recall of the result is audited against brute force.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyweave.llm._shared import Scratch, components, join_copies
 
@@ -24,18 +25,20 @@ from tallyweave.llm._shared import Scratch, components, join_copies
 @dataclass(frozen=True)
 class Settings:
     """``shard``: rows of a cluster, about, and of a block, at most about. ``overlap``:
-    clusters that a vector joins. ``sample``: rows that centroids are fitted on, and
-    ``centroids`` the most of these, so what is broadcast is bounded. ``degree``,
-    ``beam``, ``alpha``: edges kept by pruning, width of the greedy search, and how
-    much nearer a kept neighbour must be to prune another. ``slack``: how far below
-    the threshold the range search still expands. ``audit``: queries, about, of the
-    recall audit."""
+    clusters that a vector joins. ``sample``: rows of a cluster, about, that the centroids
+    it is split by are fitted on, and ``fanout`` the most of these. ``margin``: how much
+    farther than the nearest a cluster may be for a vector to join it, below the first
+    split. ``degree``, ``beam``, ``alpha``: edges kept by pruning, width of the greedy
+    search, and how much nearer a kept neighbour must be to prune another. ``slack``: how
+    far below the threshold the range search still expands. ``audit``: queries, about, of
+    the recall audit. ``exact``: compare all rows of a label, in blocks, without a graph."""
 
     threshold: float = 0.93
     shard: int = 2048
     overlap: int = 2
-    sample: int = 16_384
-    centroids: int = 4_096
+    sample: int = 4_096
+    fanout: int = 256
+    margin: float = 0.1
     degree: int = 20
     beam: int = 24
     alpha: float = 1.2
@@ -43,6 +46,7 @@ class Settings:
     audit: int = 256
     recall: float = 0.97
     seed: int = 5
+    exact: bool = False
 
 
 # --- the graph of one shard -----------------------------------------------------
@@ -167,10 +171,11 @@ class Graph:
         return place, self.flat[self.starts[nodes][place] + within]
 
 
-def range_search(x: np.ndarray, graph: Graph, queries: np.ndarray, start: np.ndarray, settings: Settings) -> np.ndarray:
+def range_search(x: np.ndarray, graph: Graph, queries: np.ndarray, start: np.ndarray, settings: Settings, entries: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Boolean (query, node): nodes within ``threshold`` (as far as single precision
     tells) that the search met. Greedy first; then every node within ``slack`` of the
-    threshold hands on its neighbours until none is new."""
+    threshold hands on its neighbours until none is new. ``entries`` (query, node) are
+    met as well."""
     low, wide = np.float32(settings.threshold - 1e-4), np.float32(settings.threshold - settings.slack)
     seen = np.zeros((len(queries), len(x)), bool)
     hits = np.zeros((len(queries), len(x)), bool)
@@ -180,6 +185,11 @@ def range_search(x: np.ndarray, graph: Graph, queries: np.ndarray, start: np.nda
     hits[q, node] = sims[q, slot] >= low
     known = np.zeros(seen.shape, bool)
     known[q, node] = True
+    if entries is not None and len(entries[0]):
+        eq, enode = entries[0][~known[entries]], entries[1][~known[entries]]
+        sim = np.einsum("ij,ij->i", queries[eq], x[enode])
+        known[eq, enode], hits[eq, enode] = True, sim >= low
+        q, node = np.append(q, eq[sim >= wide]), np.append(node, enode[sim >= wide])
     while len(q):
         new_q, new_node = [], []
         for at in range(0, len(q), 1 << 15):
@@ -229,142 +239,228 @@ def _usable() -> Column:
     return F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0)
 
 
+def _marks() -> list[Column]:
+    return [F.xxhash64(F.lit(n), "label", "embedding").alias(f"mark{n}") for n in (1, 2)]
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """``node`` (the smallest vec_id), ``label``, ``embedding``, ``copies``: the
-    distinct vectors that can link at all, equal ones collapsed."""
-    return (
-        vectors.select("vec_id", "label", "embedding")
-        .filter(_usable())
-        .groupBy("label", "embedding")
-        .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    )
+    """``label``, ``embedding``, ``least`` (the smallest vec_id), ``copies``, ``mark1``,
+    ``mark2``: the distinct vectors that can link at all, equal ones collapsed."""
+    usable = vectors.select("vec_id", "label", "embedding").filter(_usable())
+    return usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select("*", *_marks())
 
 
-def centroids(nodes: DataFrame, settings: Settings) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """Centroids and the cluster of each, by (label, length of vectors), from a bounded
-    sample chosen by hash, as spherical k-means. Groups that one shard holds get none.
-    Centroids within ``slack`` and a little of linking are one cluster, so that a dense
-    group is not parted: it becomes blocks of one cluster, which are searched in pairs."""
-    sizes = (
-        nodes.groupBy("label", F.size("embedding").alias("dims")).count()
-        .filter(F.col("count") > settings.shard).orderBy(F.desc("count")).limit(settings.centroids // 2).collect()
-    )
-    wanted = {(r["label"], r["dims"]): r["count"] for r in sizes}
-    if not wanted:
-        return {}
-    total = sum(wanted.values())
-    each = settings.overlap * total / settings.shard
-    shrink = min(1.0, settings.centroids / each)
-    part = min(1.0, settings.sample / total)
-    rows = nodes.filter(F.pmod(F.xxhash64("node", F.lit(settings.seed)), F.lit(1 << 30)) < int(part * (1 << 30)))
-    rows = rows.select("label", "embedding").limit(2 * settings.sample).toPandas()
-    out = {}
-    for (label, dims), count in wanted.items():
-        own = rows[(rows["label"] == label) & (rows["embedding"].map(len) == dims)]
-        k = max(2, int(np.ceil(settings.overlap * count / settings.shard * shrink)))
-        if len(own) < 2 or k <= settings.overlap:
-            continue
-        x = _unit(_vectors(own["embedding"]))
-        middle = x[np.random.default_rng(settings.seed).permutation(len(x))[: min(k, len(x))]]
-        for _ in range(8):
-            nearest = (x @ middle.T).argmax(axis=1)
-            sums = np.zeros_like(middle)
-            np.add.at(sums, nearest, x)
-            some = np.abs(sums).max(axis=1) > 1e-12
-            middle[some] = _unit(sums[some])
-        a, b = np.nonzero(middle @ middle.T >= settings.threshold - settings.slack - 0.05)
-        _, cluster = np.unique(_forest(len(middle), a, b), return_inverse=True)
-        if cluster.max() + 1 > settings.overlap:
-            out[label, dims] = middle, cluster
-    return out
+_CELL = ["label", "dims", "shard"]
 
 
-def _dealt(nodes: DataFrame, spark: SparkSession, settings: Settings) -> DataFrame:
-    """Nodes with their shards: ``home``, all of a node's clusters, and one row for
-    each of them (``cluster``)."""
-    sent = spark.sparkContext.broadcast(centroids(nodes, settings))
+def _fitted(rows: pd.DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray] | None:
+    """Centroids of a sample of a cluster, by spherical k-means, and the part that each
+    stands for; None if it can't be split. Centroids within ``slack`` and a little of linking
+    are one part, so that a dense group is not parted: it becomes blocks of one cluster, which
+    are searched in pairs. So does a cluster that would leave most of its rows together."""
+    k = min(int(np.ceil(settings.overlap * rows["n"].iloc[0] / settings.shard)), settings.fanout, len(rows))
+    if k <= settings.overlap:
+        return None
+    x = _unit(_vectors(rows.sort_values("mark1")["embedding"]))
+    middle = x[np.random.default_rng(settings.seed).permutation(len(x))[:k]]
+    for _ in range(8):
+        nearest = (x @ middle.T).argmax(axis=1)
+        sums = np.zeros_like(middle)
+        np.add.at(sums, nearest, x)
+        some = np.abs(sums).max(axis=1) > 1e-12
+        middle[some] = _unit(sums[some])
+    a, b = np.nonzero(middle @ middle.T >= settings.threshold - settings.slack - 0.05)
+    _, part = np.unique(_forest(len(middle), a, b), return_inverse=True)
+    if part.max() + 1 <= settings.overlap:
+        return None
+    joined = _joined(x, middle, part, settings.overlap, None)
+    return None if np.bincount(joined[1]).max() > 0.75 * len(x) else (middle, part)
 
-    def of(batches):
-        middles = sent.value
-        for rows in batches:
-            home = [[0]] * len(rows)
-            dims = rows["embedding"].map(len)
-            for (label, size), at in rows.groupby(["label", dims], sort=False).indices.items():
-                if (label, size) in middles:
-                    middle, cluster = middles[label, size]
-                    sims = _unit(_vectors(rows["embedding"].iloc[at])) @ middle.T
-                    by = np.argsort(cluster, kind="stable")
-                    starts = np.searchsorted(cluster[by], np.arange(cluster.max() + 1))
-                    near = np.maximum.reduceat(sims[:, by], starts, axis=1)
-                    best = np.sort(np.argsort(-near, axis=1, kind="stable")[:, : settings.overlap], axis=1)
-                    for i, clusters in zip(at, best.tolist(), strict=True):
-                        home[i] = clusters
-            yield rows.assign(home=home, dims=dims)
-
-    more = [T.StructField("home", T.ArrayType(T.IntegerType())), T.StructField("dims", T.IntegerType())]
-    schema = T.StructType([*nodes.schema.fields, *more])
-    return nodes.mapInPandas(of, schema).withColumn("cluster", F.explode("home"))
+
+def _joined(x: np.ndarray, middle: np.ndarray, part: np.ndarray, overlap: int, margin: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, part) of the ``overlap`` nearest parts of each row, within ``margin`` if given."""
+    by = np.argsort(part, kind="stable")
+    near = np.maximum.reduceat((x @ middle.T)[:, by], np.searchsorted(part[by], np.arange(part.max() + 1)), axis=1)
+    best = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
+    which = np.ones(best.shape, bool)
+    if margin is not None:
+        sims = np.take_along_axis(near, best, axis=1)
+        which = sims >= sims[:, :1] - margin
+    row, slot = np.nonzero(which)
+    return row, best[row, slot]
+
+
+#: Rows of a cluster that are dealt to its parts in one task, and clusters up to which
+#: tables about them are broadcast whole.
+DEALT, CLUSTERS = 16_384, 100_000
+
+
+def _child(shard: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Numbers of the parts of a cluster."""
+    return (shard.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1)).view(np.int64)
+
+
+def _shards(nodes: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
+    """Nodes with each of their shards, ``shard``, ``block`` and ``blocks``.
+
+    The label and length of a vector are the first cluster. A cluster that is too large is
+    split by centroids of a bounded sample of its own; its rows are dealt in bounded tasks;
+    parts that are still too large are split again. So no size of the table makes shards
+    larger or what a task or the driver holds."""
+    now = nodes.select("node", "label", "embedding", "copies", "mark1", F.size("embedding").alias("dims"), F.lit(0).cast("long").alias("shard"))
+    done, margin = [], None
+    while True:
+        limit = settings.shard if margin is None else 2 * settings.shard
+        sizes = scratch.keep(now.groupBy(*_CELL).agg(F.count("*").alias("n")), "sizes")
+        large = sizes.filter(F.lit(not settings.exact) & (F.col("n") > limit)).withColumn("copies_", F.col("n"))
+        if large.isEmpty():
+            done.append(now)
+            break
+        met = join_copies(now, large, _CELL, "copies_", scratch, CLUSTERS)
+        share = F.least(F.lit(1.0), F.lit(float(settings.sample)) / F.col("n"))
+        drawn = met.filter("n IS NOT NULL").filter(F.pmod(F.xxhash64("mark1", F.lit(settings.seed)), F.lit(1 << 30)) < share * (1 << 30))
+        label = nodes.schema["label"].dataType.simpleString()
+
+        def fit(rows: pd.DataFrame) -> pd.DataFrame:
+            found = _fitted(rows, settings)
+            if found is None:
+                return pd.DataFrame({c: [] for c in (*_CELL, "part", "middle")}, dtype=object)
+            own = {c: rows[c].iloc[0] for c in _CELL}
+            return pd.DataFrame({**own, "part": found[1], "middle": list(found[0])})[[*_CELL, "part", "middle"]]
+
+        cells = drawn.groupBy(*_CELL).applyInPandas(fit, f"label {label}, dims int, shard long, part int, middle array<double>")
+        middles = scratch.keep(cells, "middles")
+        parted = middles.groupBy(*_CELL).agg(F.lit(1).alias("parted")).join(large, _CELL)
+        told = join_copies(now, parted, _CELL, "copies_", scratch, CLUSTERS)
+        done.append(told.filter("parted IS NULL").select(*now.columns))
+        salts = F.ceil(F.col("n") / DEALT).cast("int")
+        left = told.filter("parted = 1").withColumn("salt", F.pmod(F.xxhash64("mark1", F.lit(settings.seed + 3)), salts).cast("int")).select(*now.columns, "salt")
+        right = middles.join(large, _CELL).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(*_CELL, "salt", "part", "middle")
+
+        within = margin
+
+        def deal(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):  # fewer rows than tasks for them
+                return pd.DataFrame({c: [] for c in names}, dtype=object)
+            own = own.sort_values("part", kind="stable")
+            row, part = _joined(_unit(_vectors(rows["embedding"])), _vectors(own["middle"]), own["part"].to_numpy(np.int64), settings.overlap, within)
+            out = rows.iloc[row].drop(columns="salt")
+            return out.assign(shard=_child(out["shard"].to_numpy(np.int64), part))
+
+        keys, names = [*_CELL, "salt"], now.columns
+        now = scratch.hold(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(deal, now.schema))
+        margin = settings.margin
+    whole = reduce(DataFrame.unionByName, done)
+    counts = whole.groupBy(*_CELL).agg(F.count("*").alias("copies_"), F.ceil(F.count("*") / (settings.shard * 2)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("mark1", F.lit(settings.seed + 1)), F.col("blocks")).cast("int")
+    return join_copies(whole, scratch.keep(counts, "blocks"), _CELL, "copies_", scratch, CLUSTERS).withColumn("block", block)
 
 
 def _graph(members: DataFrame, settings: Settings) -> DataFrame:
-    """``node``, ``near``, ``back``: each block's graph, out-edges and in-edges, the
-    lists of a node united over its shards."""
+    """``node``, ``near``, ``back``, ``home``: each block's graph, out-edges and in-edges, the
+    lists of a node united over its shards, and these shards."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node", ignore_index=True)
-        near = build(_unit(_vectors(rows["embedding"])).astype(np.float32), settings)
+        rows = rows.sort_values("mark1", ignore_index=True)
         ids = rows["node"].to_numpy()
+        near = np.full((len(ids), 1), -1) if settings.exact else build(_unit(_vectors(rows["embedding"])).astype(np.float32), settings)
         source, slot = np.nonzero(near >= 0)
         target = near[source, slot]
         by = np.argsort(target, kind="stable")
         back = np.split(ids[source[by]], np.searchsorted(target[by], np.arange(1, len(ids))))
-        return pd.DataFrame({"node": ids, "near": [ids[a[a >= 0]] for a in near], "back": back})
+        return pd.DataFrame({"node": ids, "shard": rows["shard"], "near": [ids[a[a >= 0]] for a in near], "back": back})
 
-    lists = members.groupBy("label", "dims", "cluster", "block").applyInPandas(of, "node long, near array<long>, back array<long>")
+    lists = members.groupBy(*_CELL, "block").applyInPandas(of, "node long, shard long, near array<long>, back array<long>")
     united = (F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("near", "back"))
-    return lists.groupBy("node").agg(*united)
-
-
-def _found(rows: pd.DataFrame, cluster: int, settings: Settings) -> pd.DataFrame:
-    """Links within a shard's block (``side`` 0 only) or between two of its blocks,
-    counted where the two nodes' first common cluster is this one."""
-    rows = rows.sort_values(["side", "node"], ignore_index=True)
-    exact = _unit(_vectors(rows["embedding"]))
-    ids, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
-    side = rows["side"].to_numpy()
-    place = pd.Series(np.arange(len(ids)), index=ids)
-    out = [place.reindex(a).dropna().to_numpy(np.int64) for a in rows["near"]]
-    either = [np.union1d(a, place.reindex(b).dropna().to_numpy(np.int64)) for a, b in zip(out, rows["back"], strict=True)]
-    home = np.full((len(rows), max(map(len, rows["home"]))), -1)
-    for i, clusters in enumerate(rows["home"]):
-        home[i, : len(clusters)] = clusters
-    pairs = []
-    both = side.max() > 0
-    for asked, held in ((0, 1), (1, 0)) if both else ((0, 0),):
-        base, own = np.flatnonzero(side == held), np.flatnonzero(side == asked)
-        inside = np.full(len(ids), -1)
+    return lists.groupBy("node").agg(*united, F.sort_array(F.collect_set("shard")).alias("home"))
+
+
+class _Held:
+    """The rows of a task, in arrays: vectors, homes, and the united lists as places."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.exact = _unit(_vectors(rows["embedding"]))
+        self.ids, self.copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+        place = pd.Series(np.arange(len(self.ids)), index=self.ids)
+        place = place[~place.index.duplicated()]
+        self.out = [place.reindex(a).dropna().to_numpy(np.int64) for a in rows["near"]]
+        self.either = [np.union1d(a, place.reindex(b).dropna().to_numpy(np.int64)) for a, b in zip(self.out, rows["back"], strict=True)]
+        self.home = np.zeros((len(rows), max(map(len, rows["home"]))), np.int64)
+        self.homes = np.fromiter(map(len, rows["home"]), np.int64, len(rows))
+        for i, shards in enumerate(rows["home"]):
+            self.home[i, : len(shards)] = shards
+        self.has = np.arange(self.home.shape[1])[None, :] < self.homes[:, None]
+
+    def graph(self, base: np.ndarray) -> Graph:
+        inside = np.full(len(self.ids), -1)
         inside[base] = np.arange(len(base))
-        here = [[(a := inside[lists[i]])[a >= 0] for i in base] for lists in (out, either)]
-        graph = Graph(*here)
-        x = exact[base].astype(np.float32)
+        return Graph(*([(a := inside[lists[i]])[a >= 0] for i in base] for lists in (self.out, self.either)))
+
+    def share(self, a: np.ndarray, b: np.ndarray, below: int | None = None) -> np.ndarray:
+        """Whether two rows have a shard in common, one with a number less than ``below``."""
+        same = (self.home[a][:, :, None] == self.home[b][:, None, :]) & self.has[a][:, :, None] & self.has[b][:, None, :]
+        if below is not None:
+            same &= (self.home[a] < below)[:, :, None]
+        return same.any(axis=(1, 2))
+
+    def near(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.exact[a], self.exact[b]) >= threshold
+
+    def exits(self, q: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        """``node, visit, entries``: shards of the vectors met that the asking one is not in."""
+        other = np.flatnonzero((self.homes[v] > 1) & ~((self.home[q] == self.home[v]).all(axis=1) & (self.homes[q] == self.homes[v])) if len(q) else np.zeros(0, bool))
+        q, v = q[other], v[other]
+        row, slot = np.nonzero(self.has[v])
+        shard = self.home[v[row], slot]
+        new = ~((self.home[q[row]] == shard[:, None]) & self.has[q[row]]).any(axis=1)
+        frame = pd.DataFrame({"node": self.ids[q[row[new]]], "visit": shard[new], "entry": self.ids[v[row[new]]]})
+        return frame.groupby(["node", "visit"])["entry"].agg(lambda x: sorted(set(x))).rename("entries").reset_index()
+
+
+_FOUND = "node long, links long, root long, visit long, entries array<long>"
+
+
+def _all_of(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    columns = [f.split(" ")[0] for f in _FOUND.split(", ")]
+    kept = [f.reindex(columns=columns).astype({c: "Int64" for c in columns[:4]} | {"entries": object}) for f in frames if len(f)]
+    for f in kept:
+        f["entries"] = f["entries"].where(f["entries"].notna(), None)
+    return pd.concat(kept, ignore_index=True) if kept else pd.DataFrame({c: [] for c in columns}, dtype=object)
+
+
+def _found(rows: pd.DataFrame, shard: int, settings: Settings) -> pd.DataFrame:
+    """Links within a shard's block (``side`` 0 only) or between two of its blocks, counted
+    where the two nodes' first common shard is this one, and shards to go on in."""
+    rows = rows.sort_values(["side", "mark1"], ignore_index=True)
+    held, side = _Held(rows), rows["side"].to_numpy()
+    pairs = []
+    for asked, base_side in ((0, 1), (1, 0)) if side.max() > 0 else ((0, 0),):
+        base, own = np.flatnonzero(side == base_side), np.flatnonzero(side == asked)
+        x = held.exact[base].astype(np.float32)
+        graph = held.graph(base)
         start = np.unique([medoid(x), *np.linspace(0, len(base) - 1, 4).astype(int)])
         for at in range(0, len(own), 2048):
-            q, node = np.nonzero(range_search(x, graph, exact[own[at : at + 2048]].astype(np.float32), start, settings))
+            queries = held.exact[own[at : at + 2048]].astype(np.float32)
+            if settings.exact:
+                q, node = np.nonzero(queries @ x.T >= np.float32(settings.threshold - 1e-4))
+            else:
+                q, node = np.nonzero(range_search(x, graph, queries, start, settings))
             pairs.append(np.stack([own[at + q], base[node]]))
     a, b = np.concatenate(pairs, axis=1)
+    exits = held.exits(a, b)
     a, b = np.minimum(a, b), np.maximum(a, b)
-    pair = np.unique(a[a != b] * len(ids) + b[a != b])
-    a, b = pair // len(ids), pair % len(ids)
+    n = len(held.ids)
+    pair = np.unique(a[a != b] * n + b[a != b])
+    a, b = pair // n, pair % n
     keep = np.zeros(len(a), bool)
     for at in range(0, len(a), 1 << 16):
         p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        near_ = np.einsum("ij,ij->i", exact[p], exact[q]) >= settings.threshold
-        common = (home[p][:, :, None] == home[q][:, None, :]) & (home[p] >= 0)[:, :, None] & (home[p] < cluster)[:, :, None]
-        keep[at : at + (1 << 16)] = near_ & ~common.any(axis=(1, 2))
+        keep[at : at + (1 << 16)] = held.near(p, q, settings.threshold) & ~held.share(p, q, shard)
     a, b = a[keep], b[keep]
-    links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+    links = np.bincount(a, held.copies[b], n) + np.bincount(b, held.copies[a], n)
     some = np.flatnonzero(links)
-    return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "root": ids[_least(_forest(len(ids), a, b), ids)[some]]})
+    roots = held.ids[_least(_forest(n, a, b), held.ids)[some]]
+    return _all_of([pd.DataFrame({"node": held.ids[some], "links": links[some].astype(np.int64), "root": roots}), exits])
 
 
 def _least(root: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -375,9 +471,8 @@ def _least(root: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return first[root]
 
 
-def _search(members: DataFrame, graph: DataFrame, settings: Settings) -> DataFrame:
-    """``node``, ``links``, ``root``: what each shard (or pair of its blocks) found."""
-    with_graph = members.join(graph, "node")
+def _search(with_graph: DataFrame, settings: Settings) -> DataFrame:
+    """``_FOUND``: what each shard (or pair of its blocks) found."""
     tasks = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(
@@ -389,7 +484,57 @@ def _search(members: DataFrame, graph: DataFrame, settings: Settings) -> DataFra
     def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _found(rows, int(key[2]), settings)
 
-    return dealt.groupBy("label", "dims", "cluster", "low", "high").applyInPandas(of, "node long, links long, root long")
+    return dealt.groupBy(*_CELL, "low", "high").applyInPandas(of, _FOUND)
+
+
+def _visited(rows: pd.DataFrame, settings: Settings) -> pd.DataFrame:
+    """Links of visiting rows (``side`` 1) with a block of a shard that they are not in, as
+    pairs (``node``, ``root``) of nodes without a common shard, and shards to go on in."""
+    rows = rows.sort_values(["side", "mark1"], ignore_index=True)
+    held, side = _Held(rows), rows["side"].to_numpy()
+    base, own = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(base) or not len(own):
+        return _all_of([])
+    x = held.exact[base].astype(np.float32)
+    graph, start = held.graph(base), np.unique([medoid(x), *np.linspace(0, len(base) - 1, 4).astype(int)])
+    place = pd.Series(np.arange(len(base)), index=held.ids[base])
+    frames = []
+    for at in range(0, len(own), 1024):
+        part = own[at : at + 1024]
+        entries = [place.reindex(e).dropna().to_numpy(np.int64) for e in rows["entries"].iloc[part]]
+        asked = np.repeat(np.arange(len(part)), [len(e) for e in entries])
+        q, node = np.nonzero(range_search(x, graph, held.exact[part].astype(np.float32), start, settings, (asked, np.concatenate(entries))))
+        a, b = part[q], base[node]
+        close = held.near(a, b, settings.threshold)
+        frames.append(held.exits(a[close], b[close]))
+        new = close & ~held.share(a, b)
+        frames.append(pd.DataFrame({"node": held.ids[a[new]], "root": held.ids[b[new]]}))
+    return _all_of(frames)
+
+
+def _across(with_graph: DataFrame, todo: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
+    """``a, b``: links between nodes without a common shard. Nodes visit the shards that
+    their search met, and from there others, each once."""
+    nodes = with_graph.dropDuplicates(["node"]).drop("shard", "blocks", "block")
+    shards = with_graph.groupBy(*_CELL).agg(F.max("blocks").alias("blocks"))
+    pairs, seen = [], None
+    while not todo.isEmpty():
+        seen = todo.select("node", "visit") if seen is None else seen.unionByName(todo.select("node", "visit"))
+        turns = todo.groupBy(F.col("visit").alias("shard")).agg(F.ceil(F.count("*") / (4 * settings.shard)).cast("int").alias("turns"))
+        asked = todo.join(nodes, "node").withColumnRenamed("visit", "shard").join(turns, "shard").join(shards, _CELL)
+        asked = asked.withColumn("turn", F.pmod(F.xxhash64("mark1"), F.col("turns")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        base = with_graph.join(turns, "shard").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        names = [*_CELL, "block", "turn", "node", "mark1", "embedding", "copies", "near", "back", "home"]
+        nothing = F.array().cast("array<long>")
+        both = base.select(*names, nothing.alias("entries"), F.lit(0).alias("side")).unionByName(asked.select(*names, "entries", F.lit(1).alias("side")))
+        found = scratch.keep(both.groupBy(*_CELL, "block", "turn").applyInPandas(lambda rows: _visited(rows, settings), _FOUND), "visited")
+        pairs.append(found.filter("root IS NOT NULL").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")))
+        todo = scratch.keep(_visits(found).join(seen, ["node", "visit"], "left_anti"), "visits")
+    return reduce(DataFrame.unionByName, pairs).distinct() if pairs else todo.select(F.col("node").alias("a"), F.col("visit").alias("b"))
+
+
+def _visits(found: DataFrame) -> DataFrame:
+    return found.filter("visit IS NOT NULL").groupBy("node", "visit").agg(F.array_distinct(F.flatten(F.collect_list("entries"))).alias("entries"))
 
 
 def near_duplicates(vectors: DataFrame, spark: SparkSession, settings: Settings = Settings()) -> DataFrame:
@@ -399,38 +544,47 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, settings: Settings
 
     Vectors that are null, zero or hold null, NaN or infinite components, have no label,
     no vec_id or a length of their own link with nothing; their component is their own
-    vec_id. Equal vectors are one node whose copies count as links. A cluster beyond
-    ``shard`` rows is cut into blocks by hash; every pair of its blocks is searched, so
-    its size costs time (its square over the block) but loses no link. Pairs never
-    leave the task that finds them: it returns counts and a spanning forest.
-
-    If the audit finds less than ``recall``, the run is made again with one more cluster
-    for each vector and a wider beam, twice at most; the last result stands.
+    vec_id. Equal vectors are one node whose copies count as links. Rows of one vec_id with
+    several vectors each get the results of their own vector. Other columns are ignored, and
+    an empty table gives no rows. A cluster that can't be split, such as a dense group, is
+    cut into blocks by hash; every pair of its blocks is searched, so it costs time with its
+    square over the block. Within a shard pairs never leave the task that finds them: it
+    returns counts and a spanning forest.
+
+    The audit takes the lower of two recalls: of all links of the audited nodes, and the mean
+    over these nodes, so that a dense group can't hide what others lose. If it finds less than
+    ``recall``, the run is made again with one more cluster for each vector and a wider beam,
+    twice at most, and then by comparing all vectors of a label in blocks.
     """
     scratch = Scratch(spark, "vectors")
-    nodes = scratch.hold(distinct_vectors(vectors))
+    # Written, as numbers given to rows change if a lost part is computed again.
+    nodes = scratch.keep(distinct_vectors(vectors).withColumn("node", F.monotonically_increasing_id()), "nodes")
     audit = _audit_queries(nodes, settings)
-    for attempt in range(3):
-        found = scratch.keep(_links(nodes, spark, settings, scratch), "found")
+    for attempt in range(4):
+        found = scratch.keep(_links(nodes, settings, scratch), "found")
         recall = _recall(nodes, found, audit, spark, settings)
-        if recall is None or recall >= settings.recall or attempt == 2:
+        if recall is None or recall >= settings.recall:
             break
-        settings = Settings(**{**settings.__dict__, "overlap": settings.overlap + 1, "beam": settings.beam * 2})
+        wider = {"overlap": settings.overlap + 1, "beam": settings.beam * 2}
+        settings = replace(settings, **wider) if attempt < 2 else replace(settings, exact=True)
     roots = scratch.keep(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch), "roots")
+    narrow = nodes.select("node", "least", "copies", "mark1", "mark2")
+    rooted = scratch.keep(roots.join(narrow.select("node", "least"), "node"), "rooted")
+    tops = rooted.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("members"))
+    top_of = join_copies(rooted.select("node", "root"), tops, ["root"], "members", scratch).select("node", "top")
     per_node = (
-        nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-        .join(roots, "node", "left")
+        narrow.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+        .join(top_of, "node", "left")
         .select(
-            "label", "embedding", "node", "copies",
+            "mark1", "mark2", "copies",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("root", "node").alias("component_id"),
+            F.coalesce("top", "least").alias("component_id"),
         )
-    )
-    marks = [F.xxhash64(F.lit(s), "label", "embedding").alias(f"mark{s}") for s in (1, 2)]
-    linked = scratch.keep(per_node.filter("n_links > 0").select(*marks, "copies", "n_links", "component_id"), "linked")
+    )
+    linked = scratch.keep(per_node.filter("n_links > 0"), "linked")
     # The hash passes over null components: rows that can't link get marks of their own.
     own_marks = [F.xxhash64(F.lit(-n), F.monotonically_increasing_id()) for n in (1, 2)]
-    known = (F.when(_usable(), mark).otherwise(other).alias(f"mark{n}") for n, mark, other in zip((1, 2), marks, own_marks))
+    known = (F.when(_usable(), mark).otherwise(other).alias(f"mark{n}") for n, mark, other in zip((1, 2), _marks(), own_marks))
     rows = scratch.hold(vectors.select("vec_id", *known))
     own = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component_id")), F.col("vec_id"))
     return join_copies(rows, linked, ["mark1", "mark2"], "copies", scratch).select(
@@ -442,19 +596,22 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, settings: Settings
     )
 
 
-def _links(nodes: DataFrame, spark: SparkSession, settings: Settings, scratch: Scratch) -> DataFrame:
-    dealt = scratch.hold(_dealt(nodes, spark, settings))
-    sizes = dealt.groupBy("label", "dims", "cluster").agg(F.ceil(F.count("*") / (settings.shard * 2)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node", F.lit(settings.seed + 1)), F.col("blocks")).cast("int")
-    members = dealt.join(sizes, ["label", "dims", "cluster"]).withColumn("block", block)
-    graph = scratch.hold(_graph(members, settings))
-    return _search(members, graph, settings)
+def _links(nodes: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
+    """``node, links, root``: parts of the numbers of links and of a spanning forest."""
+    members = scratch.hold(_shards(nodes, settings, scratch))
+    with_graph = scratch.hold(members.join(_graph(members, settings), "node"))
+    found = scratch.keep(_search(with_graph, settings), "searched")
+    cross = _across(with_graph, scratch.keep(_visits(found), "visits"), settings, scratch)
+    weights = nodes.select("node", "copies")
+    ends = cross.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    added = ends.join(weights.withColumnRenamed("node", "other"), "other").select("node", F.col("copies").alias("links"), F.least("node", "other").alias("root"))
+    return found.filter("root IS NOT NULL").select("node", "links", "root").unionByName(added)
 
 
 def _audit_queries(nodes: DataFrame, settings: Settings) -> pd.DataFrame:
     """About ``audit`` nodes, chosen by hash."""
     part = min(1.0, settings.audit / max(1, nodes.count()))
-    chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit(settings.seed + 2)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    chosen = nodes.filter(F.pmod(F.xxhash64("mark1", F.lit(settings.seed + 2)), F.lit(1 << 30)) < int(part * (1 << 30)))
     return chosen.select("node", "label", "embedding").limit(4 * settings.audit).toPandas()
 
 
@@ -477,5 +634,7 @@ def _recall(nodes: DataFrame, found: DataFrame, audit: pd.DataFrame, spark: Spar
                     yield pd.DataFrame({"node": names[counts > 0], "n": counts[counts > 0]})
 
     true = nodes.mapInPandas(of, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    sums = true.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").agg(F.sum("n").alias("n"), F.sum("links").alias("links")).first()
-    return None if not sums["n"] else min(1.0, (sums["links"] or 0) / sums["n"])
+    each = true.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    own = F.avg(F.least(F.lit(1.0), F.col("links") / F.col("n")))
+    sums = each.agg(F.sum("n").alias("n"), F.sum("links").alias("links"), own.alias("own")).first()
+    return None if not sums["n"] else min(1.0, sums["links"] / sums["n"], sums["own"])

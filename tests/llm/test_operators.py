@@ -182,11 +182,11 @@ def vectors(rng, n=240, dims=16):
         base = rng.normal(size=dims) if i < 60 or i % 3 == 0 else np.array(rows[rng.integers(len(rows) // 2)][1])
         rows.append((i, [float(np.float32(x)) for x in base + rng.normal(size=dims) * 0.08 * (i % 3 > 0)], int(i % 3)))
     rows += [(n + k, rows[5][1], rows[5][2]) for k in range(4)]
-    rows += [(900, None, 1), (901, [], 1), (902, [0.0] * dims, 1), (903, [float("nan")] * dims, 1), (904, [float("inf")] + [1.0] * (dims - 1), 1), (905, [None] + [1.0] * (dims - 1), 1), (906, rows[5][1], None), (None, rows[5][1], rows[5][2]), (907, rows[5][1][:8], rows[5][2]), (5, rows[5][1], rows[5][2])]
+    rows += [(900, None, 1), (901, [], 1), (902, [0.0] * dims, 1), (903, [float("nan")] * dims, 1), (904, [float("inf")] + [1.0] * (dims - 1), 1), (905, [None] + [1.0] * (dims - 1), 1), (906, rows[5][1], None), (None, rows[5][1], rows[5][2]), (907, rows[5][1][:8], rows[5][2]), (5, rows[5][1], rows[5][2]), (3, rows[7][1], rows[7][2]), (3, rows[11][1], rows[11][2])]
     return rows
 
 
-@pytest.mark.parametrize("settings_", [Settings(), Settings(shard=24, overlap=3, sample=200), Settings(shard=24, centroids=2)])
+@pytest.mark.parametrize("settings_", [Settings(), Settings(shard=24, overlap=3, sample=200), Settings(shard=12, fanout=4), Settings(exact=True)])
 def test_vectors_equal_brute_force(spark, settings_):
     rows = vectors(np.random.default_rng(8))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1)).withColumn("block", F.lit("x"))
@@ -217,6 +217,32 @@ def test_dense_group_is_found_whole(spark):
     assert all(r["n_links"] <= expected[r["vec_id"]] for r in found)
 
 
+def test_links_across_shards_and_splits_of_splits(spark):
+    """Strings of beads: each links with the next ones only, over many small shards."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for string in range(6):
+        a, b = np.linalg.qr(rng.normal(size=(8, 2)))[0].T
+        rows += [(len(rows) + k, [float(x) for x in np.cos(k / 12) * a + np.sin(k / 12) * b], 0) for k in range(70)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    settings_ = Settings(shard=8, fanout=6, audit=4, recall=0.0)
+    found = vector_dedup.near_duplicates(table, spark, settings_).collect()
+    expected = {i: (n, c) for i, n, c in plain_vectors(rows)}
+    assert all(r["n_links"] <= expected[r["vec_id"]][0] for r in found)
+    assert sum(r["n_links"] for r in found) >= 0.97 * sum(n for n, _ in expected.values())
+    scratch = _shared.Scratch(spark, "test")
+    nodes = scratch.keep(vector_dedup.distinct_vectors(table).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    shards = vector_dedup._shards(nodes, settings_, scratch)
+    assert shards.select("shard").distinct().count() > 30 and shards.select("node").distinct().count() == len(rows)
+
+
+def test_a_missed_recall_ends_in_the_exact_way(spark):
+    rows = [(i, v, label) for i, v, label in vectors(np.random.default_rng(3)) if i is not None and i < 240]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = vector_dedup.near_duplicates(table, spark, Settings(shard=16, degree=1, beam=1, slack=0.0, recall=1.0)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == sorted(plain_vectors(rows))
+
+
 def test_robust_prune_keeps_spread_neighbours():
     angles = np.array([0.0, 0.1, 0.11, 0.12, -0.2])
     x = np.stack([np.cos(angles), np.sin(angles)], axis=1).astype(np.float32)
