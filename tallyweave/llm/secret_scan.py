@@ -43,16 +43,16 @@ class CharacterClass:
 
 CLASSES = (
     CharacterClass("ent_hex", "0-9a-fA-F", 20, 3.0, True),
-    CharacterClass("ent_b64", "A-Za-z0-9+/_-", 24, 3.9, True),
+    CharacterClass("ent_b64", "A-Za-z0-9+/_-", 20, 3.7, True),
 )
 KINDS = (*BASE, *(c.kind for c in CLASSES))
-#: Whole runs that are never entropy secrets: UUIDs, runs of one hex letter or
-#: digit pattern that only counts up, placeholders, and paths of plain words.
+#: Whole runs that are never entropy secrets: UUIDs and paths of plain words.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i:.*(example|placeholder|changeme|your[_-]?(key|token)|xxxxxx|abcdefgh|01234567|12345678).*)",
     r"[A-Za-z]*(?:[/_-][A-Za-z]{0,15}[0-9]{0,4})+",
 )
+#: Words that mark a piece between slashes as a placeholder; other pieces of its run count.
+ALLOWED_WORDS = r"(?i:example|placeholder|changeme|your[_-]?(?:key|token)|xxxxxx|abcdefgh|01234567|12345678)"
 
 
 @cache
@@ -95,24 +95,42 @@ def entropy_spans(run: str, window: int, bits: float, mixed: bool = False) -> li
 class Scanner:
     """Finds spans in texts; classes and allow list can be replaced."""
 
-    def __init__(self, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED):
+    def __init__(self, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED, words: str = ALLOWED_WORDS):
         self.classes = classes
         self.kinds = (*BASE, *(c.kind for c in classes))
         self.allowed = [re.compile(x) for x in allowed]
+        self.words = re.compile(words)
         every, least = "".join(c.characters.rstrip("-") for c in classes), min(c.window for c in classes)
         self.candidate = re.compile(rf"[{every}-]{{{least},}}")
         self.runs = [(c, re.compile(rf"[{c.characters}]{{{c.window},}}")) for c in classes]
 
+    def _harmless(self, run: str) -> bool:
+        return any(x.fullmatch(run) for x in self.allowed)
+
+    def _stretches(self, run: str) -> list[tuple[int, str]]:
+        """(place, text) of what is left of a run without its placeholder pieces."""
+        if not self.words.search(run):
+            return [(0, run)]
+        out, at, start = [], 0, 0
+        for piece in run.split("/"):
+            end = at + len(piece)
+            if self.words.search(piece):
+                out.append((start, run[start:at]))
+                start = end
+            at = end + 1
+        return [*out, (start, run[start:])]
+
     def entropy(self, text: str) -> list[Span]:
         spans: list[Span] = []
         for found in self.candidate.finditer(text):
-            if any(x.fullmatch(found[0]) for x in self.allowed):
+            if self._harmless(found[0]):
                 continue
-            for c, runs in self.runs:
-                for run in runs.finditer(found[0]):
-                    if not any(x.fullmatch(run[0]) for x in self.allowed):
-                        at = found.start() + run.start()
-                        spans += [(c.kind, at + a, at + b) for a, b in entropy_spans(run[0], c.window, c.bits, c.mixed)]
+            for place, stretch in self._stretches(found[0]):
+                for c, runs in self.runs:
+                    for run in runs.finditer(stretch):
+                        if not self._harmless(run[0]):
+                            at = found.start() + place + run.start()
+                            spans += [(c.kind, at + a, at + b) for a, b in entropy_spans(run[0], c.window, c.bits, c.mixed)]
         return spans
 
     def find(self, text: str) -> list[Span]:
@@ -127,7 +145,9 @@ class Scanner:
 
 def secret_spans(text: Column, scanner: Scanner | None = None) -> Column:
     """Array of ``kind, start, end`` in code points (end exclusive), by start, then
-    kind in the order of ``KINDS``. Null and empty texts give an empty array."""
+    kind in the order of ``KINDS``. Null and empty texts give an empty array, texts of any
+    length are read whole, equal texts give equal spans, and an empty table gives no rows.
+    It is a column of one other column, so names of further columns don't matter."""
     return _spans.span_column(text, (scanner or Scanner()).find_all)
 
 
