@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import base64
+import os
+import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm._shared import Scratch, running_sums
 
-#: Ranks of a byte-level BPE, one base64 token and its rank a line.
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Session setting with the path of the ranks of a byte-level BPE, one base64 token and its
+#: rank a line, and where they are if it is unset.
+RANKS_SETTING, RANKS = "tallyweave.tokenizer.ranks", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how that vocabulary splits texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths of a bucket of the two-level suffix sums.
@@ -29,23 +33,54 @@ def _encoder(ranks: bytes, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def count_tokens(texts: list[str | None], ranks: bytes, pattern: str = PATTERN) -> np.ndarray:
-    """Tokens of each text (null: 0). Strings of special tokens are ordinary text."""
+#: Characters that are split and merged at a time.
+STRETCH = 1 << 17
+#: A space between characters that are no white space: whatever the pattern makes of both
+#: sides, a token ends before it, so texts can be cut there.
+_CUT = re.compile(r"(?<=\S)\x20(?=\S)")
+
+
+def stretches(text: str, length: int = STRETCH) -> Iterator[str]:
+    """A text in parts that have the tokens of the whole, of about ``length`` characters;
+    longer ones where it has no place to cut."""
+    at = 0
+    while len(text) - at > length:
+        cut = _CUT.search(text, at + length)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def count_tokens(texts: list[str | None], ranks: bytes, pattern: str = PATTERN, length: int = STRETCH, whole: int = 1 << 19) -> np.ndarray:
+    """Tokens of each text (null: 0). Strings of special tokens are ordinary text.
+
+    The library's own splitter can run out of stack on a very long run of white space; a
+    stretch of over ``whole`` characters, which has no single space in a whole ``whole``,
+    is split by the same pattern in another engine. Tests hold the two against each other.
+    """
     encoder, split = _encoder(ranks, pattern), None
     out = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        if text and len(text) < 500_000:
-            out[i] = len(encoder.encode_ordinary(text))
-        elif text:  # the library's own splitter can run out of stack on huge texts
-            split = split or regex.compile(pattern)
-            out[i] = sum(len(encoder._encode_single_piece(m[0])) for m in split.finditer(text))
+        for part in stretches(text or "", length):
+            if len(part) <= whole:
+                out[i] += len(encoder.encode_ordinary(part))
+            else:
+                split = split or regex.compile(pattern)
+                out[i] += sum(len(encoder._encode_single_piece(m[0])) for m in split.finditer(part))
     return out
 
 
-def token_count(text: Column, spark: SparkSession, ranks: str = RANKS, pattern: str = PATTERN) -> Column:
+def token_count(text: Column, spark: SparkSession, ranks: str | None = None, pattern: str = PATTERN) -> Column:
     """Tokens of a text, as BIGINT. The driver reads the ranks (a vocabulary, so of
-    bounded size) and sends them along; executors need no file."""
-    with open(ranks, "rb") as f:
+    bounded size) from the path ``ranks``, else from that in the session's setting
+    ``RANKS_SETTING``, else from ``RANKS``, and sends them along; executors need no file.
+    Null and empty texts have none; texts of any length are counted whole."""
+    path = ranks or spark.conf.get(RANKS_SETTING, RANKS)
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: give token_count its path, or set {RANKS_SETTING}")
+    with open(path, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
 
     @F.arrow_udf("long")
@@ -96,19 +131,20 @@ def truncated_totals(table: DataFrame, limits: DataFrame) -> DataFrame:
     """``limit``, ``truncated_total``: tokens left if documents are cut at any limit,
     from a suffix table: the greatest length up to the limit tells how many tokens
     shorter documents have and how many documents are longer."""
-    first = table.agg(
-        F.max("docs_to").alias("n"), F.min("n_tokens").alias("least")
-    )
-    near = (
-        limits.select("limit")
-        .join(table, F.col("n_tokens") <= F.col("limit"), "left")
-        .groupBy("limit")
-        .agg(F.max_by(F.struct("tokens_to", "docs_longer"), "n_tokens").alias("at"))
-    )
-    return near.crossJoin(F.broadcast(first)).select(
-        "limit",
-        F.coalesce(F.col("at.tokens_to") + F.col("at.docs_longer") * F.col("limit"), F.col("n") * F.col("limit"), F.lit(0)).alias("truncated_total"),
-    )
+    n = table.agg(F.max("docs_to").alias("n"))  # one row
+    asked = limits.select(F.col("limit").cast("long").alias("at"), F.lit(True).alias("asked"), F.lit(None).cast("long").alias("tokens_to"), F.lit(None).cast("long").alias("docs_longer")).distinct()
+    known = table.select(F.col("n_tokens").alias("at"), F.lit(False).alias("asked"), "tokens_to", "docs_longer")
+    # The last length up to a limit: within its bucket of lengths, else the last of an earlier one.
+    both = known.unionByName(asked).withColumn("bucket", F.floor(F.col("at") / F.lit(SPREAD)))
+    found = F.when(~F.col("asked"), F.struct("tokens_to", "docs_longer"))
+    inside = Window.partitionBy("bucket").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy("bucket").agg(F.max_by(found, F.when(~F.col("asked"), F.col("at"))).alias("end"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for SPREAD lengths
+    carried = ends.select("bucket", F.last("end", ignorenulls=True).over(before).alias("earlier"))
+    near = both.withColumn("own", F.last(found, ignorenulls=True).over(inside)).filter("asked").join(carried, "bucket")
+    at = F.coalesce("own", "earlier")
+    total = F.coalesce(at["tokens_to"] + at["docs_longer"] * F.col("at"), F.col("n") * F.col("at"), F.lit(0))
+    return near.crossJoin(F.broadcast(n)).select(F.col("at").alias("limit"), total.alias("truncated_total"))
 
 
 def quantiles(table: DataFrame, shares: list[float]) -> DataFrame:
