@@ -24,6 +24,9 @@ UNKNOWN = "und"
 SLOTS, LONGEST = 1 << 15, 3
 #: Documents that calibrate the bits, about; they are chosen by hash from all that may be learnt from.
 CALIBRATION_ROWS = 20_000
+#: Most languages that a model can have: what learning holds in a worker and sends to the
+#: driver grows with their number (256 KB and 33,000 small rows each).
+LANGUAGES = 128
 #: Least lead of the best language's score over the next, else the text is ambiguous.
 LEAD = 0.25
 PREDICTION = "struct<lang_pred: string, score: double, second: string, ambiguous: boolean>"
@@ -145,10 +148,14 @@ def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Mode
     The n-gram statistics count every row. Only (language, slot) sums reach the
     driver: at most ``SLOTS`` + 1 for each language. A bit's classifier is the log
     ratio of the two sides' mean n-gram shares, all languages of a side counting
-    alike. Its middle, width and trust come from about ``calibration_rows`` rows.
+    alike. Its middle, width and trust come from about ``calibration_rows`` rows. More than
+    ``LANGUAGES`` different labels raise a ValueError. Repeated rows count as often as they
+    come, other columns are ignored, and an empty table gives a model that knows nothing.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = _gram_counts(rows).toPandas()
+    if rows.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} different values of lang: clean the labels before learning")
+    counts = _gram_counts(rows).toArrow().to_pandas()
     whole = counts[counts["slot"] < 0].set_index("lang")["n"]
     languages = sorted(whole.index)
     code = codewords(len(languages))
@@ -195,7 +202,8 @@ def _calibrate(rows: DataFrame, model: Model, fraction: float) -> tuple[np.ndarr
         chosen.mapInArrow(of, "lang string, bit long, units long, rights long, n long")
         .groupBy("lang", "bit")
         .agg(F.sum("units").alias("units"), F.sum("rights").alias("rights"), F.sum("n").alias("n"))
-        .toPandas()
+        .toArrow()
+        .to_pandas()
     )
     # A language of which no text was chosen counts as lying right at its side.
     means = model.code * float(np.abs(found["units"] / found["n"]).mean() / _UNIT if len(found) else 1.0)
@@ -208,7 +216,8 @@ def _calibrate(rows: DataFrame, model: Model, fraction: float) -> tuple[np.ndarr
 
 def prediction(text: Column, model: Model) -> Column:
     """``PREDICTION`` of each text: null, empty and letterless texts, and any text
-    under a model without languages, give ``und`` with score 0."""
+    under a model without languages, give ``und`` with score 0. Texts of any length are
+    read whole, equal texts give equal predictions, an empty table gives no rows."""
 
     @F.arrow_udf(PREDICTION)
     def of(texts: pa.Array) -> pa.Array:
