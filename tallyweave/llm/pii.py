@@ -2,13 +2,17 @@
 
 The CRF labels white-space tokens by their word shapes and those of their
 neighbours. It is trained here, on a small labelled table, and decoded by Viterbi
-over padded numpy batches, each line of a text from its first token to its last.
+over padded numpy batches, each line of a text from its first token to its last; very
+long lines go in overlapping stretches.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,7 +33,14 @@ BASE = ("email", "ip", "card", "phone")
 LABELS = ("O", "email", "ip", "card", "phone", "id")
 KINDS = (*BASE, *(f"crf_{x}" for x in LABELS[1:]))
 #: Tokens that are decoded together, and tokens whose features are remembered.
-HELD, KNOWN = 1 << 18, 1 << 17
+HELD, KNOWN = 1 << 17, 1 << 17
+#: Tokens of a line that are decoded as one sequence, and tokens that a longer line's
+#: stretches share with their neighbours on either side, so that labels near a cut are
+#: those of a sequence that goes on. A stretch reports the runs that begin in it.
+STRETCH, SHARED = 1 << 14, 64
+#: Characters of a token that its shape is taken from; longer ones differ in no feature but
+#: their number of digits and at signs, which count in full.
+SHAPED = 64
 
 
 def _digits(text: str) -> list[int]:
@@ -70,18 +81,22 @@ def base_spans(text: str) -> list[Span]:
 #: which a seeded rule fills in; all other tokens are labelled O.
 SENTENCES = (
     "please write to {email} before noon", "contact {email} or {email} for details", "{email} is my address",
-    "mail me at {email}, thanks", "the of and {email} in that", "sent from {email} on {date}",
-    "call {phone} today", "phone: {phone}", "tel {phone} or {phone}", "the and {phone} of in the", "fax {phone} office",
+    "mail me at {email}, thanks", "you can reach the office under {email} or by phone at {phone}", "sent from {email} on {date}",
+    "forward the invoice to {email} and keep a copy", "e-mail: {email}", "cc {email}; {email}", "her address was {email} until {year}",
+    "call {phone} today", "phone: {phone}", "tel {phone} or {phone}", "if nobody answers, try {phone} instead", "fax {phone} office",
     "her number is {phone}.", "ring ({phone}) after {date}", "my card {card} expires {date}", "card number {card}",
-    "the und {card} de la", "pay with {card} now", "charged to {card}, total {price}", "server {ip} is down",
-    "login from {ip} at {time}", "the {ip} and of", "host {ip} port {small}", "address {ip}, gateway {ip}",
-    "ssn {id} on file", "her id {id} was copied", "account {id} closed", "social security {id}, born {date}",
+    "the customer paid with {card} last week", "pay with {card} now", "charged to {card}, total {price}", "server {ip} is down",
+    "login from {ip} at {time}", "requests came from {ip} all night", "host {ip} port {small}", "address {ip}, gateway {ip}",
+    "ssn {id} on file", "her id {id} was copied", "account {id} closed", "social security {id}, born {date}", "transfer it to {id} please",
     "version {version} of the licence", "under licence {version}", "in {year} we sold {small} units",
     "the meeting is on {date} at {time}", "see page {small} of chapter {small}", "it costs {price} each",
     "between {year} and {year} about {big} people", "section {version} applies", "follow @{word} for news",
     "{small} of {small} items, {big} in all", "at {time} on {date}", "room {small} floor {small}", "isbn {book} in print",
     "order {big} shipped {date}", "{word}{small} and {word}{small}", "copyright {year} the authors", "grew by {percent} in {year}",
-    "token = {hash} and of", "the {key} at of the", "password={hash} in", "commit {hash} of {date}", "the {key} and {hash}",
+    "token = {hash} was revoked", "the key {key} is no longer in use", "password={hash} in the log", "commit {hash} of {date}", "rotate {key} and {hash} soon", "page {small}: contact {email} for details", "notes of {date}: write to {email} about room {small}",
+    "upgrade to version {version} before {date}", "the score was {small} to {small}", "flight {word} {small} leaves at {time}",
+    "we met at noon and left at {time}", "look at the dot on the map", "the dot product at the end of page {small}", "he works at a dot com company",
+    "they arrived at the station at {time}", "a red dot at each corner", "meet us at the gate", "the com port at slot {small}", "she laughed at {word} and sat down",
 )
 
 
@@ -95,9 +110,12 @@ def _filler(kind: str, rng: np.random.Generator) -> str:
     pick = lambda *forms: forms[rng.integers(len(forms))]
     n = int(rng.integers(3, 9))
     if kind == "email":
-        return pick(f"{word(n)}.{d(2)}@{word(5)}.com", f"{word(n)}@{word(4)}.{word(4)}.org", f"{word(3)}_{word(n)}@{word(6)}.net", f"{word(n)}@{word(5)}{d(1)}.{word(6)}.com", f"{word(n)}.{d(2)}@{word(4)}{d(1)}.{word(7)}.com", f"{word(n)}{d(3)}@{word(5)}.co.uk", f"{word(n)} at {word(6)} dot com")
+        host = pick(f"{word(n)}.com", f"{word(4)}.{word(5)}.org", f"{word(6)}.net", f"{word(5)}{d(1)}.de", f"{word(5)}.co.uk", f"mail.{word(n)}.edu")
+        name = pick(word(n), f"{word(4)}.{word(n)}", f"{word(3)}_{word(n)}", f"{word(n)}{d(3)}", f"{word(n)}.{d(2)}", f"{word(1)}-{word(n)}")
+        end = pick("com", "org", "net", "de")
+        return pick(f"{name}@{host}", f"{name}@{host}", f"{name}@{host}", f"{word(n)} at {word(6)} dot {end}", f"{word(n)} (at) {word(6)} (dot) {end}", f"{word(n)}[at]{word(6)}.{end}")
     if kind == "phone":
-        return pick(f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(11)}", f"{d(3)}.{d(3)}.{d(4)}")
+        return pick(f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{d(11)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(3)}", f"({d(3)}) {d(4)} {d(4)}", f"+{d(1)} {d(3)}-{d(3)}-{d(4)}")
     if kind == "card":
         return pick(f"4{d(15)}", f"5{d(3)} {d(4)} {d(4)} {d(4)}", f"4{d(3)}-{d(4)}-{d(4)}-{d(4)}", f"37{d(13)}")
     if kind == "ip":
@@ -108,7 +126,7 @@ def _filler(kind: str, rng: np.random.Generator) -> str:
         return pick(f"{d(2)}/{d(2)}/20{d(2)}", f"20{d(2)}-{d(2)}-{d(2)}", f"{d(1)} May 20{d(2)}")
     if kind == "price":
         return pick(f"${d(2)}.{d(2)}", f"{d(3)},{d(2)} EUR", f"{d(4)} USD")
-    forms = {"time": f"{d(2)}:{d(2)}", "version": f"{d(1)}.{d(1)}", "year": f"19{d(2)}", "small": d(2), "big": f"{d(2)},{d(3)}", "percent": f"{d(2)}%", "word": word(n), "hash": "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, 40)), "key": f"AKIA{word(5).upper()}{d(2)}{word(4).upper()}{d(1)}", "book": f"978-{d(1)}-{d(5)}-{d(3)}-{d(1)}"}
+    forms = {"time": f"{d(2)}:{d(2)}", "version": pick(f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", f"{d(1)}.{d(1)}.{d(1)}.{d(1)}", f"v{d(1)}.{d(2)}"), "year": f"19{d(2)}", "small": d(2), "big": f"{d(2)},{d(3)}", "percent": f"{d(2)}%", "word": word(n), "hash": "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, 40)), "key": f"AKIA{word(5).upper()}{d(2)}{word(4).upper()}{d(1)}", "book": f"978-{d(1)}-{d(5)}-{d(3)}-{d(1)}"}
     return forms[kind]
 
 
@@ -124,8 +142,7 @@ def labelled_table(copies: int = 8, seed: int = 7) -> pd.DataFrame:
                 kind = kind if kind and "{" not in after else ""
                 filled = re.sub(r"\{(\w+)\}", lambda m: _filler(m[1], rng), part)
                 for token in filled.split(" "):
-                    label = kind if kind in LABELS and token not in ("at", "dot") else "O"
-                    label = "email" if kind == "email" else label
+                    label = kind if kind in LABELS else "O"
                     rows.append((n, position, token, label))
                     position += 1
             n += 1
@@ -144,7 +161,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @lru_cache(1 << 16)
 def _shapes(token: str) -> tuple[str, str]:
     """Word shape, runs collapsed, and the same with lengths of digit runs."""
-    marks = _LETTERS.sub("x", token[:64])
+    marks = _LETTERS.sub("x", token[:SHAPED])
     return re.sub(r"[0-9]+", "d", marks), re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 17)}", marks)
 
 
@@ -169,7 +186,7 @@ def _near(whole: str | None, step: int) -> list[str]:
 
 def _plain(token: str) -> str:
     """A token of the same features, one for many: runs of letters matter as cues only."""
-    if len(token) > 64 or token.rstrip(".").strip(_EDGE).lower() in _CUES:
+    if len(token) > SHAPED or token.rstrip(".").strip(_EDGE).lower() in _CUES:
         return token
     return _LETTERS.sub("x", token)
 
@@ -336,48 +353,94 @@ class Finder:
 
     def find_all(self, texts: list[str]) -> list[list[Span]]:
         spans = [base_spans(x) for x in texts]
-        where: list[tuple[int, int, str]] = []
-        tokens: list[list[str]] = []
-        held = 0
+        held: list[_Stretch] = []
+        waiting = 0
         for n, text in enumerate(texts):
-            at = 0
-            for line in text.split("\n"):
-                if words := _TOKEN.findall(line):
-                    where.append((n, at, line))
-                    tokens.append(words)
-                    held += len(words)
-                at += len(line) + 1
-            if held > HELD or n == len(texts) - 1:
-                for (i, start, line), labels in zip(where, self.model.decode(tokens), strict=True):
-                    if labels.any():
-                        ends = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(line)]
-                        spans[i] += self._runs(texts[i], ends, labels)
-                where, tokens, held = [], [], 0
+            for stretch in _stretches(n, text):
+                held.append(stretch)
+                waiting += len(stretch.tokens)
+                if waiting > HELD:
+                    self._flush(texts, held, spans)
+                    held, waiting = [], 0
+        self._flush(texts, held, spans)
         return [_spans.in_order(x, KINDS) for x in spans]
 
-    @staticmethod
-    def _runs(text: str, tokens: list[tuple[int, int]], labels: np.ndarray) -> list[Span]:
-        out: list[Span] = []
-        i = 0
-        while i < len(tokens):
-            j = i + 1
-            while j < len(tokens) and labels[j] == labels[i]:
-                j += 1
-            if labels[i]:
-                start, end = tokens[i][0], tokens[j - 1][1]
-                while start < end and text[start] in "[{<\"',;:!?.":
-                    start += 1
-                while end > start and text[end - 1] in "]}>\"',;:!?.":
-                    end -= 1
-                if start < end:
-                    out.append((f"crf_{LABELS[labels[i]]}", start, end))
-            i = j
+    def _flush(self, texts: list[str], held: list[_Stretch], spans: list[list[Span]]) -> None:
+        for s, labels in zip(held, self.model.decode([s.tokens for s in held]), strict=True):
+            if labels.any():
+                spans[s.text] += _runs(texts[s.text], s, labels)
+
+
+class _Stretch(NamedTuple):
+    """Tokens of a line, or of a part of a very long one: the text's number, the place of the
+    first token in the text, and the tokens, by number, whose runs are reported."""
+
+    text: int
+    start: int
+    tokens: list[str]
+    first: int
+    last: int
+
+
+def _stretches(number: int, text: str) -> Iterator[_Stretch]:
+    at = 0
+    for line in _lines(text):
+        if len(line) <= STRETCH:  # so are its tokens
+            if words := _TOKEN.findall(line):
+                yield _Stretch(number, at, words, 0, len(words))
+        else:
+            yield from _long_line(number, at, line)
+        at += len(line) + 1
+
+
+def _lines(text: str) -> Iterator[str]:
+    at = 0
+    while (end := text.find("\n", at)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
+
+
+def _long_line(number: int, at: int, line: str) -> Iterator[_Stretch]:
+    found = _TOKEN.finditer(line)
+    kept: list[re.Match[str]] = []
+    first, more = 0, True
+    while more:
+        new = list(islice(found, STRETCH + SHARED - (len(kept) - first)))
+        kept += new
+        last = min(len(kept), first + STRETCH)
+        more = len(kept) > last
+        if last > first:
+            yield _Stretch(number, at + kept[0].start(), [m[0] for m in kept], first, last)
+        drop = max(0, last - SHARED)
+        kept, first = kept[drop:], last - drop
+
+
+def _runs(text: str, s: _Stretch, labels: np.ndarray) -> list[Span]:
+    """Spans of the runs of one label that begin among the stretch's own tokens."""
+    edges = np.flatnonzero(np.diff(labels)) + 1
+    starts, ends = np.append(0, edges), np.append(edges, len(labels))
+    out: list[Span] = []
+    wanted = [(i, j) for i, j in zip(starts.tolist(), ends.tolist(), strict=True) if labels[i] and s.first <= i < s.last]
+    if not wanted:
         return out
+    tokens = [(m.start(), m.end()) for m in islice(_TOKEN.finditer(text, s.start), wanted[-1][1])]
+    for i, j in wanted:
+        start, end = tokens[i][0], tokens[j - 1][1]
+        while start < end and text[start] in "[{<\"',;:!?.":
+            start += 1
+        while end > start and text[end - 1] in "]}>\"',;:!?.":
+            end -= 1
+        if start < end:
+            out.append((f"crf_{LABELS[labels[i]]}", start, end))
+    return out
 
 
 def personal_spans(text: Column, finder: Finder | None = None) -> Column:
     """Array of ``kind, start, end`` in code points (end exclusive), by start, then
-    kind in the order of ``KINDS``. Null and empty texts give an empty array."""
+    kind in the order of ``KINDS``. Null and empty texts give an empty array, texts and lines
+    of any length are read whole in bounded memory, equal texts give equal spans, and an empty
+    table gives no rows. It is a column of one other column, so names of others don't matter."""
     return _spans.span_column(text, (finder or Finder()).find_all)
 
 

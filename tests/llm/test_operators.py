@@ -154,6 +154,32 @@ def test_secret_query_and_redaction(spark, docs, empty):
     assert empty.select(secret_scan.secret_spans(F.col("text"))).count() == 0
 
 
+def test_secret_digest_columns(spark, tmp_path, docs):
+    """The query's own columns against the patterns and entropy windows, on whole texts."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op1_secret_scan(spark, str(tmp_path)).collect()
+    texts = defaultdict(list)
+    for i, text, _, _ in documents():
+        texts[i].append(text or "")
+    assert Counter(r["doc_id"] for r in found) == {i: len(t) for i, t in texts.items()}
+    scanner = secret_scan.Scanner()
+    for r in found:
+        text = texts[r["doc_id"]][0]
+        base = plain_secrets(text)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for k, _, _ in base) for kind in secret_scan.BASE]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        every = sorted({*base, *scanner.entropy(text)}, key=lambda x: (x[1], scanner.kinds.index(x[0]), x[2]))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in every)
+
+
+def test_a_placeholder_word_does_not_hide_its_neighbours():
+    key = "qR7xT2mVb9LkPz4WsYd8Hn3JcFgUe6Aa1Bo5Kp2M"
+    scanner = secret_scan.Scanner()
+    for text, hit in ((f"host.io/example-service/keys/{key}", True), (f"{key}/your_key", True), (f"example{key}", False), ("k3Tz8Qw1Lm5Vx9Rb2Yn7", True)):
+        spans = [s for s in scanner.find(text) if s[0] == "ent_b64"]
+        assert bool(spans) == hit and all("example" not in text[a:b] and "your" not in text[a:b] for _, a, b in spans)
+
+
 # --- 2 vectors --------------------------------------------------------------------------------
 
 
@@ -321,6 +347,19 @@ def test_huge_texts_count_like_small_ones():
     encoder = token_counts._encoder(ranks, token_counts.PATTERN)
     assert len(text) > 500_000 and token_counts.count_tokens([text], ranks)[0] == len(encoder.encode_ordinary(text))
     assert token_counts.count_tokens([None, "", "<|endoftext|>"], ranks).tolist()[:2] == [0, 0]
+    with pytest.raises(FileNotFoundError, match="tallyweave.tokenizer.ranks"):
+        token_counts.token_count(F.col("text"), spark, "/nowhere")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from([" ", "  ", "\n", " \t ", "don't", " we'll", "'S", "\x1c", "\x85", "\u00a0", "\u2003", "é", "漢字", "१२", "½", "🙂", "\u0301", " a", "1 "])), max_size=25).map("".join), st.integers(1, 40))
+def test_stretches_and_the_other_splitter_count_the_same(text, length):
+    with open(token_counts.RANKS, "rb") as f:
+        ranks = f.read()
+    whole = len(token_counts._encoder(ranks, token_counts.PATTERN).encode_ordinary(text))
+    assert token_counts.count_tokens([text], ranks, length=length).tolist() == [whole]
+    assert token_counts.count_tokens([text], ranks, whole=-1).tolist() == [whole]
+    assert "".join(token_counts.stretches(text, length)) == text
 
 
 # --- 5 language ------------------------------------------------------------------------------------
@@ -350,6 +389,36 @@ def test_language_prediction(spark, docs, empty):
     assert language_id.train(docs.filter("lang = 'en'")).predict("hello")[:2] == ("en", 1.0)
 
 
+def test_mixed_texts_are_ambiguous(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 40, WORDS if i % 2 else SPANISH), "en" if i % 2 else "es") for i in range(400)]
+    model = language_id.train_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    mixed = [" ".join(x for pair in zip(rng.choices(WORDS, k=60), rng.choices(SPANISH, k=60)) for x in pair) for _ in range(40)]
+    found = [model.predict(t) for t in mixed]
+    assert sum(f[3] for f in found) >= 10 and all(f[2] and f[1] - (1 - f[1]) < language_id.LEAD for f in found if f[3])
+    assert not any(model.predict(t)[3] for _, t, _ in rows[:60])
+
+
+def test_too_many_languages_are_refused(spark):
+    rows = [(i, "some words", f"label {i}") for i in range(language_id.LANGUAGES + 9)]
+    with pytest.raises(ValueError, match="different values of lang"):
+        language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_language_query(spark, tmp_path):
+    """The query's columns, and its accuracy on held-out rows, without a look at lang."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in queries.op5_language_id(spark, str(tmp_path)).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        assert found[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert (found[r["doc_id"]]["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", r["text"] or ""))
+    model = language_id.train(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"))
+    assert all(model.predict(r["text"])[:2] == (found[r["doc_id"]]["lang_pred"], found[r["doc_id"]]["score"]) for r in rows)
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = docs.filter(language_id.held_out(F.col("doc_id"))).select("lang", language_id.prediction(F.col("text"), language_id.train_on(docs))["lang_pred"].alias("p"))
@@ -568,6 +637,112 @@ def test_whole_lines_are_decoded(spark):
         assert abs(path(found) - best.max()) < 1e-6
 
 
+def test_personal_digest_columns(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op8_personal_data(spark, str(tmp_path)).collect()
+    texts = {i: t or "" for i, t, _, _ in documents()}
+    finder = pii.Finder()
+    assert Counter(r["doc_id"] for r in found) == Counter(i for i, _, _, _ in documents())
+    for r in found:
+        text = texts[r["doc_id"]]
+        base = sorted(plain_personal(text), key=lambda x: (x[1], pii.BASE.index(x[0])))
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in base) for k in pii.BASE]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in finder.find_all([text])[0])
+
+
+#: Lines written by hand, apart from the model's table; personal data stands in brackets.
+MARKED = """
+Hi team, my new mailbox is [email:martin.keller@posteo.example.org], the old one closes on Friday.
+You'll find me as [email:k_owens77@uni-example.edu] from the autumn term on.
+Kontakt: [email:info@beispiel-verein.de] oder [phone:+49 30 5550 1234], werktags bis 17 Uhr.
+Drop a line to [email:sue at harborview dot org] and she'll add you to the list.
+For returns write [email:returns (at) shopfront (dot) com] within 14 days.
+Spam bots can't read [email:tom[at]rivermail.net], or so he believes.
+He bought 3 tickets at 25 dollars each and left at 9.
+The lecture is at ten, at the old chapel behind the dot matrix museum.
+Emergency contact: Laura, [phone:(415) 555-0137], after hours [phone:415-555-0199].
+My number hasn't changed: [phone:+44 20 7946 0958].
+Text [phone:555.867.5309] to unsubscribe.
+Ring the bell twice, then phone [phone:(020) 7946 0123] if nobody comes.
+Call volume rose by 12% in 2019 and 14% in 2020.
+Her Visa is [card:4539 1488 0343 6467] and it expires in March.
+We refunded card [card:5425-2334-3010-9903] on 12/04/2021.
+Amex [card:378282246310005] was declined twice.
+Order 4539148803 shipped in 2 parcels, 4.5 kg in total.
+The router answers at [ip:192.168.17.254] and the printer at [ip:10.0.4.31].
+Blocked [ip:203.0.113.77] after 250 failed logins.
+Upgrade to version 4.12.1 before 2023-06-30.
+Section 3.2.1.4 of the manual covers this, see page 118.
+Her social security number, [id:078-05-1120], was printed on the form.
+SSN [id:219-09-9999] does not match our records.
+Please pay into [id:DE44 5001 0517 5407 3249 31] by the end of May.
+The IBAN is [id:GB29 6016 1331 9268 1937 29], reference 2291.
+ISBN 978-0-306-40615-7, 312 pages, 24.90 EUR.
+The score was 21-19, 18-21, 21-17.
+Flight LH 454 leaves at 10:35 from gate B44.
+Meet at 555 Main Street, room 1204, at 15:30.
+It weighs 1.250 kg and costs $1,299.00.
+From 1914 to 1918 about 65,000,000 men were mobilised.
+@newsdesk posted 12 photos at noon.
+Contact us at the front desk or by mail.
+user: [email:p.moreau+lists@example.co.uk], last seen at [ip:172.16.254.1]
+Fax [phone:+1 212-555-0175] still works, believe it or not.
+cc [email:accounts@northwind.example.com]; [email:legal@northwind.example.com]
+The dot at the end of line 12 is missing.
+Chapter 7, verses 11-14, 3rd edition.
+Population 8,336,817 at the 2020 census.
+He ran 42.195 km in 3:05:12.
+Billing desk, [phone:+61 2 5550 4411], open nine to five.
+The parcel went to unit 7, 1420 Orchard Lane.
+Send scans to [email:archive.desk@museum-friends.org] please.
+Ping [ip:198.51.100.23] twice and tell me what you see.
+My old card, [card:6011 0009 9013 9424], was cut in half.
+Write me: [email:dora at fieldnote dot net].
+Chrome 118.0.5993 fixed the bug on 10 October.
+The tender closes on 31.12.2024 at 12:00.
+[phone:(312) 555-0142] is the night line, [phone:312-555-0143] the day line.
+She scored 99.5 out of 100 in all 14 rounds.
+His national number [id:536-22-8841] leaked last spring.
+Rent: 1 450 EUR, heating 120 EUR, deposit 2 900 EUR.
+"""
+
+
+def test_recall_and_precision_on_lines_written_by_hand():
+    """Spans of a kind, found by the pattern or the model, that meet the marked ones."""
+    marked, lines = [], []
+    for line in MARKED.strip().split("\n"):
+        text, spans, at = "", [], 0
+        for m in re.finditer(r"\[(email|phone|card|ip|id):((?:\[at\]|[^\]])*)\]", line):
+            text += line[at : m.start()]
+            spans.append((m[1], len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        lines.append(text + line[at:])
+        marked.append(spans)
+    true, hit, reported, right = Counter(), Counter(), Counter(), Counter()
+    for spans, found in zip(marked, pii.Finder().find_all(lines), strict=True):
+        meets = lambda x, y: x[0].removeprefix("crf_") == y[0] and x[1] < y[2] and y[1] < x[2]
+        for s in spans:
+            true[s[0]] += 1
+            hit[s[0]] += any(meets(f, s) for f in found)
+        for f in found:
+            if f[0].startswith("crf_"):
+                reported[f[0][4:]] += 1
+                right[f[0][4:]] += any(meets(f, s) for s in spans)
+    print({k: (f"recall {hit[k]}/{true[k]}", f"precision of the model {right[k]}/{reported[k]}") for k in true})
+    assert sum(hit.values()) >= 0.85 * sum(true.values()) and sum(right.values()) >= 0.8 * sum(reported.values())
+    assert all(hit[k] >= 0.6 * true[k] for k in true)
+
+
+def test_long_lines_go_in_stretches(monkeypatch):
+    finder, rng = pii.Finder(), random.Random(2)
+    line = " ".join(rng.choice(["word", "12", "call", "555-123-4567", "jane at mailer dot com", "card 4111 1111 1111 1111"]) for _ in range(2000))
+    whole = finder.find_all([line])[0]
+    for stretch in (150, 333):
+        monkeypatch.setattr(pii, "STRETCH", stretch)
+        assert finder.find_all([line, "x", line]) == [whole, [], whole]
+
+
 # --- 9 simhash ------------------------------------------------------------------------------------------------
 
 
