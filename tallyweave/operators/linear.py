@@ -111,7 +111,7 @@ def count_min_estimates(keys: DataFrame, cells: DataFrame, grids: Grid | Mapping
 
 def upper_median(values: Column) -> Column:
     """The middle of an array, the upper one if its length is even."""
-    return F.element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)
+    return F.get(F.sort_array(values), (F.size(values) / 2).cast("int"))
 
 
 def count_sketch_estimates(keys: DataFrame, cells: DataFrame, grids: Grid | Mapping[int, Grid], family: str = "portable", seed: int = 0) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +78,11 @@ def _wait(j: Column, part: int) -> Column:
 
 
 def level(at: Column) -> Column:
-    """Levels that a unit survives."""
-    return F.size(F.filter(F.array(*map(F.lit, TIMES)), lambda t: at < t))
+    """Levels that a unit survives: those of ``TIMES`` that it arrives by. The logarithm is
+    within one of it, and the times themselves decide."""
+    near = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.floor(-F.log2(-F.expm1(-at))).cast("int")))
+    times = F.array(*map(F.lit, (float("inf"), *TIMES, 0.0)))
+    return near - 1 + (at < F.get(times, near)).cast("int") + (at < F.get(times, near + 1)).cast("int")
 
 
 def _sizes(size: int | Mapping[int, int]) -> dict[int, int]:
@@ -100,9 +104,11 @@ def concise(counted: DataFrame, size: int | Mapping[int, int], seeds: tuple[int,
 
 
 def concise_of(units: DataFrame, size: int | Mapping[int, int]) -> DataFrame:
-    """``concise`` from ``arrivals``, or from those of several parts of a stream together."""
+    """``concise`` from ``arrivals``, or from those of several parts of a stream together. The
+    counts by key and level are read twice and kept for that, until the caller clears the
+    session's cache."""
     sizes = _sizes(size)
-    counts = units.groupBy("seed", "key", "level").agg(F.count("*").alias("c"))
+    counts = units.groupBy("seed", "key", "level").agg(F.count("*").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
     by_level = counts.groupBy("seed", "level").agg(F.sum("c").alias("c"))
     tried = by_level.withColumn("least", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
     left = tried.groupBy("seed", "least").agg(F.sum(F.when(F.col("level") >= F.col("least"), F.col("c")).otherwise(0)).alias("left"))

@@ -1,13 +1,17 @@
+import math
 import random
 from collections import Counter
+from functools import reduce
+from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import hashing, prefix, sizing
 from tallyweave.functions.sizing import Grid
 from tallyweave.operators import counters, exact, experiments, linear, metrics, sampling
-from tallyweave.sources import pageviews, reports, streams, synthetic
+from tallyweave.sources import files, pageviews, reports, streams, synthetic
 
 ROWS = [("a", 2), ("b", 5), ("c", 1), ("d", 4), ("a", 3)]
 ODD = ['comma, "quoted"', "back\\slash", "", "日本語", "naïve", "x" * 300]
@@ -198,6 +202,54 @@ def test_folds_equal_plain_ones_and_keep_their_bounds(seed):
     assert all(true[k] - n / m <= lc.get(k, (0, 0))[0] <= true[k] for k in true)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_blocks_keep_their_bounds(seed):
+    """Whatever the blocks: estimates lie within the bounds that a summary states."""
+    rng = random.Random(seed)
+    rows = [(f"k{int(rng.paretovariate(0.7)) % 40}", rng.randrange(6)) for _ in range(rng.randrange(1, 400))]
+    size = rng.randrange(1, 9)
+    true, n = Counter(), 0
+    for k, w in rows:
+        true[k] += w
+        n += w
+    kinds = {}
+    for kind in (counters.MisraGriesBlock, counters.SpaceSavingBlock, counters.LossyCountingBlock):
+        state, at = kind(size), 0
+        while at < len(rows):
+            step = rng.randrange(1, 60)
+            sums = Counter()
+            for k, w in rows[at : at + step]:
+                sums[k] += w
+            state.absorb(pa.table({"key": list(sums), "w": pa.array(list(sums.values()), pa.int64())}))
+            at += step
+        t = state.table()
+        kinds[kind] = state, dict(zip(t["key"].to_pylist(), zip(t["w"].to_pylist(), t["e"].to_pylist())))
+        assert state.total == n and state.floor <= n / size
+    mg, found = kinds[counters.MisraGriesBlock]
+    assert len(found) <= size and mg.floor <= n / (size + 1)
+    assert all(true[k] - mg.floor <= found.get(k, (0, 0))[0] <= true[k] for k in true)
+    ss, found = kinds[counters.SpaceSavingBlock]
+    assert len(found) <= size and all(e - x <= true[k] <= e <= true[k] + ss.floor for k, (e, x) in found.items())
+    assert all(true[k] <= ss.floor for k in true if k not in found)
+    lc, found = kinds[counters.LossyCountingBlock]
+    assert all(e <= true[k] <= e + x for k, (e, x) in found.items()) and all(true[k] <= lc.floor for k in true if k not in found)
+
+
+def test_bounds_and_pools(spark):
+    rows = spark.createDataFrame([("a", 7, 3)], "key string, estimate long, error long")
+    assert counters.with_bounds(rows, "space_saving").first()[3:] == (4, 7)
+    assert counters.with_bounds(rows, "lossy_counting").first()[3:] == (7, 10)
+    stream = make(spark, [("a", 5), ("b", 1), ("c", 1), ("a", 1)])
+    assert {r["key"] for r in counters.arrival_pool(stream, lambda: counters.MisraGries(9), 0.5).collect()} == {"a"}
+
+
+def test_folds_of_many_partitions_refuse_negative_weights(spark):
+    bad = spark.createDataFrame([("a", -1), ("b", 3)], "key string, weight long")
+    with pytest.raises(Exception, match="negative weight"):
+        counters.misra_gries(bad, 4).collect()
+    assert counters.misra_gries(bad.limit(0), 4).count() == 0
+
+
 def test_negative_weights_and_bad_sizes_are_refused():
     for summary in (counters.MisraGries(1), counters.SpaceSaving(1), counters.LossyCounting(1)):
         with pytest.raises(ValueError):
@@ -207,10 +259,11 @@ def test_negative_weights_and_bad_sizes_are_refused():
             kind(0)
 
 
-@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("parts", [1, 3, None])
 def test_distributed_folds_lose_no_heavy_hitter(spark, parts):
-    rng = random.Random(parts)
-    stream = make(spark, [(f"k{int(rng.paretovariate(0.8))}", rng.randrange(1, 4)) for _ in range(900)])
+    """``parts`` None: the partitions as they lie, in blocks."""
+    rng = random.Random(parts or 5)
+    stream = make(spark, [(f"k{int(rng.paretovariate(0.8))}", rng.randrange(1, 4)) for _ in range(900)]).repartition(5)
     c = exact.frequencies(stream)
     true = sorted(map(tuple, exact.heavy_hitters(c, 0.02).collect()))
     eps = 0.005
@@ -242,6 +295,7 @@ def test_lossy_counting_closed_form(spark):
 
 def test_memory_bytes(spark):
     entries = spark.createDataFrame([("ab", 1), ("日本語", 2)], "key string, estimate long")
+    assert counters.memory_bytes(entries, "misra_gries").first()["entries"] == 2
     assert counters.memory_bytes(entries, "misra_gries").first()["bytes"] == 2 * 56 + 2 * 5
     assert counters.memory_bytes(entries, "reservoir", 100).first()["bytes"] == 800 + 2 * 56 + 2 * 5
 
@@ -250,29 +304,64 @@ def test_memory_bytes(spark):
 
 
 def test_samples_hold_their_size_and_are_exact_when_all_fits(spark):
-    stream = make(spark, ROWS + [("zero", 0)])
+    c = counted(spark, ROWS + [("zero", 0)])
     true = {"a": 5, "b": 5, "c": 1, "d": 4}
-    assert as_dict(sampling.concise_estimates(sampling.concise(stream, 15))) == true
-    small = sampling.concise(stream, 6).collect()
+    assert as_dict(sampling.concise_estimates(sampling.concise(c, 15))) == true
+    small = sampling.concise(c, 6).collect()
     assert sum(r["sample_count"] for r in small) <= 6 and {r["t"] for r in small} <= {2, 4, 8, 16}
-    assert as_dict(sampling.reservoir_estimates(sampling.reservoir(stream, 100), stream)) == true
-    drawn = sampling.reservoir(stream, 7).collect()
+    assert as_dict(sampling.reservoir_estimates(sampling.reservoir(c, 100), c)) == true
+    drawn = sampling.reservoir(c, 7).collect()
     assert sum(r["sample_count"] for r in drawn) == 7 == drawn[0]["m"]
-
-
-def test_reservoir_of_tied_units_repeats(spark):
-    """Rows of one place give units of equal hash; those of the smallest keys are kept."""
-    rows = [(k, 3, 7) for k in "dbca"]
-    for order in (rows, rows[::-1]):
-        tied = spark.createDataFrame(order, "key string, weight long, ord long").repartition(3)
-        assert {r["key"]: r["sample_count"] for r in sampling.reservoir(tied, 6).collect()} == {"a": 2, "b": 2, "c": 1, "d": 1}
+    again = sampling.reservoir(c.repartition(3), 7).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, drawn))
+    with pytest.raises(ValueError):
+        sampling.reservoir(c, 0)
 
 
 def test_samples_are_about_unbiased(spark):
-    stream = make(spark, [("heavy", 3000), ("light", 1000)])
-    concise = sampling.averaged(sampling.concise_estimates(sampling.concise(stream, 500, sampling.SEEDS)), 5)
+    c = counted(spark, [("heavy", 3000), ("light", 1000)])
+    concise = sampling.averaged(sampling.concise_estimates(sampling.concise(c, 500, sampling.SEEDS)), 5)
     assert abs(as_dict(concise)["heavy"] - 3000) < 450
-    assert abs(as_dict(sampling.reservoir_estimates(sampling.reservoir(stream, 500), stream))["heavy"] - 3000) < 300
+    assert abs(as_dict(sampling.reservoir_estimates(sampling.reservoir(c, 500), c))["heavy"] - 3000) < 300
+
+
+def test_samples_of_huge_weights(spark):
+    """A weight of 10**12 makes no more rows than the sample needs."""
+    c = counted(spark, [("huge", 10**12), ("big", 10**11), ("one", 1)])
+    units = sampling.arrivals(c, 200)
+    assert 200 <= units.count() < 20 * sampling.enough(200)
+    drawn = {r["key"]: r["sample_count"] for r in sampling.reservoir(c, 200).collect()}
+    assert sum(drawn.values()) == 200 and 150 < drawn["huge"] < 198
+    estimate = as_dict(sampling.concise_estimates(sampling.concise(c, 200)))
+    assert abs(estimate["huge"] / 10**12 - 1) < 0.4
+
+
+def test_samples_follow_the_law_of_unit_draws(spark):
+    """Counts of one key among the first units over many seeds, against the hypergeometric
+    law, by chi-square; and the level at which a concise sample of many units fits."""
+    n, heavy, size, seeds = 4000, 1600, 12, 1500
+    c = counted(spark, [("a", heavy), ("b", n - heavy)])
+    found = Counter(0 if r["c"] is None else r["c"] for r in sampling.reservoir(c, size, tuple(range(seeds))).groupBy("seed").agg(F.max(F.when(F.col("key") == "a", F.col("sample_count"))).alias("c")).collect())
+    law = [math.comb(heavy, k) * math.comb(n - heavy, size - k) / math.comb(n, size) for k in range(size + 1)]
+    kept = [k for k in range(size + 1) if law[k] * seeds >= 8]
+    rest = 1 - sum(law[k] for k in kept)
+    chi = sum((found[k] - law[k] * seeds) ** 2 / (law[k] * seeds) for k in kept)
+    chi += (seeds - sum(found[k] for k in kept) - rest * seeds) ** 2 / max(rest * seeds, 1)
+    assert chi < 35  # 9 classes: exceeded once in 20,000
+    units = sampling.arrivals(c, 2, tuple(range(300)))  # pieces of several units
+    assert units.select("least").first()[0] > 3
+    expected = n * 2.0 ** -units.select("least").first()[0] * 300
+    assert abs(units.count() - expected) < 6 * expected**0.5
+    at = units.filter(F.col("key") == "a").count()
+    assert abs(at - expected * heavy / n) < 6 * expected**0.5
+
+
+def test_merged_samples_are_samples_of_the_whole(spark):
+    parts = [counted(spark, [("a", 300), ("b", 100)]), counted(spark, [("a", 100), ("c", 500)])]
+    units = sampling.arrivals(parts[0], 50, (1,), 1).unionByName(sampling.arrivals(parts[1], 50, (1,), 2))
+    drawn = {r["key"]: r["sample_count"] for r in sampling.reservoir_of(units, 50).collect()}
+    assert sum(drawn.values()) == 50 and drawn["c"] > drawn["b"]
+    assert sampling.concise_of(units, 50).agg(F.sum("sample_count")).first()[0] <= 50
 
 
 # --- metrics, sizing, sources ------------------------------------------------------------------------
@@ -328,6 +417,73 @@ def test_metrics_upsert(spark, tmp_path):
     assert "f1: 3.0" in reports.as_text(rows(("mg", 3.0))).first()["report"]
 
 
+def test_metrics_upsert_by_parameters(spark, tmp_path):
+    path = str(tmp_path / "m")
+    rows = lambda *x: spark.createDataFrame(list(x), "algorithm string, kb int, f1 double")
+    reports.write_comparison(rows(("cms", 1, 1.0), ("cms", 2, 2.0), ("mg", 1, 3.0)), path, ("algorithm", "kb"))
+    reports.write_comparison(rows(("cms", 2, 9.0)), path, ("algorithm", "kb"))
+    found = spark.read.option("header", True).csv(f"{path}/comparison").collect()
+    assert sorted((r["algorithm"], r["kb"], r["f1"]) for r in found) == [("cms", "1", "1.0"), ("cms", "2", "9.0"), ("mg", "1", "3.0")]
+
+
+def test_files(spark, tmp_path, monkeypatch):
+    source = tmp_path / "lines.txt"
+    source.write_text("\n".join(map(str, range(30))))
+    target = files.fetch(f"file://{source}", str(tmp_path / "copy.txt"))
+    assert files.peek(spark, target, 3) == ["0", "1", "2"]
+    with pytest.raises(OSError):
+        files.fetch("file:///nowhere/at/all", str(tmp_path / "none.txt"), tries=2, wait=0)
+    assert not list(tmp_path.glob("none*"))
+    monkeypatch.setenv(files.ROOT, str(tmp_path))
+    assert files.resolve("x/y") == str(tmp_path / "x/y") and files.resolve("/a") == "/a" and files.resolve("x", "/r") == "/r/x"
+    (tmp_path / "zipf_10").mkdir()
+    (tmp_path / "pageviews").mkdir()
+    assert files.variants(str(tmp_path)) == {"zipf_10": (1.0, f"{tmp_path}/zipf_10"), "pageviews": (None, f"{tmp_path}/pageviews")}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    files.size_scans(spark)
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) == files.SPLIT_BYTES
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+    spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_k_fold_signs_are_independent(spark):
+    df = spark.range(6000).select(F.col("id").cast("string").alias("key"))
+    for family in hashing.FAMILIES:
+        signed = df.select(hashing.signs(F.lit(3), F.col("key"), 4, family).alias("s"), hashing.sign(hashing.hash_pair(F.lit(3), F.col("key"), family)["lo"]).alias("one"))
+        assert signed.filter(F.col("s")[0] != F.col("one")).isEmpty()
+        products = [F.avg(reduce(lambda a, b: a * b, (F.col("s")[i] for i in some))) for k in (1, 2, 3, 4) for some in combinations(range(4), k)]
+        assert all(abs(x) < 0.07 for x in signed.agg(*products).first())
+
+
+def test_words_without_a_place_are_refused(spark):
+    df = spark.createDataFrame([(1 << 40, "a b")], "n long, text string")
+    with pytest.raises(Exception, match="no place in the order"):
+        streams.words(df, number=F.col("n")).collect()
+
+
+def test_estimates_by_arrays_equal_those_by_joins(spark, monkeypatch):
+    c = counted(spark, [(f"k{i}", 1 + i % 9) for i in range(300)])
+    grids = {1: Grid(3, 32), 2: Grid(2, 64)}
+    for build, score in ((linear.count_min, linear.count_min_estimates), (linear.count_sketch, linear.count_sketch_estimates)):
+        cells = build(c, grids)
+        keys = c.unionByName(spark.createDataFrame([("never", 0)], "key string, total long"))
+        dense = sorted(map(tuple, score(keys, cells, grids).collect()))
+        monkeypatch.setattr(linear, "DENSE", 0)
+        assert dense == sorted(map(tuple, score(keys, cells, grids).collect()))
+        monkeypatch.undo()
+    with pytest.raises(Exception, match="outside the grid"):
+        linear.merge(cells, grids={1: Grid(3, 32), 2: Grid(2, 16)}).collect()
+
+
+def test_long_streams_are_summed_in_levels(spark):
+    """Places far apart, so that sums pass every level."""
+    rng = random.Random(7)
+    rows = sorted({(rng.randrange(1 << rng.randrange(1, 62))) for _ in range(300)})
+    df = spark.createDataFrame([(x, i % 5) for i, x in enumerate(rows)], "ord long, v long").withColumn("r", F.shiftright("ord", 3))
+    found = {r["ord"]: r["before"] for r in prefix.prefix_sums(df, [], "r", ["ord"], "v", "before").collect()}
+    assert found == {x: sum(j % 5 for j in range(i)) for i, x in enumerate(rows)}
+
+
 def test_partitioned_linear_sketches_do_not_drift(spark):
     stream = make(spark, [(f"k{i % 50}", 1 + i % 3) for i in range(600)])
     rows = experiments.partition_sweep(stream, (1, 2, 4), kb=1, k=10).collect()
@@ -340,10 +496,16 @@ def test_mergeable_contract(spark):
     from tallyweave.operators import mergeable
 
     keys = counted(spark, ROWS).select("key")
-    for kind in (mergeable.CountMin(Grid(3, 64)), mergeable.CountSketch(Grid(5, 64)), mergeable.Ams(Grid(5, 64)), mergeable.MisraGries(10, 2)):
+    for kind in (mergeable.CountMin(Grid(3, 64)), mergeable.CountSketch(Grid(5, 64)), mergeable.Ams(Grid(5, 64)), mergeable.MisraGries(10, 2), mergeable.SpaceSaving(10), mergeable.LossyCounting(50)):
         whole = kind.estimate(kind.build(make(spark, ROWS)), keys)
         parts = mergeable.merged(kind, kind, kind.build(make(spark, ROWS[:3])), kind.build(make(spark, ROWS[3:])))
         assert as_dict(kind.estimate(parts, keys)) == as_dict(whole)
+    for kind in (mergeable.Concise, mergeable.Reservoir, lambda size, part: mergeable.MisraGries(size), lambda size, part: mergeable.SpaceSaving(size), lambda size, part: mergeable.LossyCounting(size)):
+        halves = [mergeable.summarise(kind(30, part=i), make(spark, rows)) for i, rows in enumerate((ROWS[:3], ROWS[3:]))]
+        both = halves[0].merge(halves[1])
+        assert both.weight.first()["n"] == 15 and as_dict(both.estimate(keys)) == {"a": 5, "b": 5, "c": 1, "d": 4}
+    with pytest.raises(ValueError):
+        halves[0].merge(mergeable.summarise(mergeable.SpaceSaving(31), make(spark, ROWS)))
     with pytest.raises(ValueError):
         other = mergeable.CountMin(Grid(3, 64), seed=1)
         mergeable.merged(mergeable.CountMin(Grid(3, 64)), other, keys, keys)
@@ -364,5 +526,5 @@ def test_batched_ams(spark):
 
 def test_timed_builds(spark):
     stream = make(spark, ROWS)
-    rows = experiments.timed(lambda p: linear.by_partition(stream, p, Grid(2, 8)), (1, 2), 5)
+    rows = experiments.timed(lambda p: linear.by_partition(exact.frequencies(stream), p, Grid(2, 8)), (1, 2), 5)
     assert rows[0]["speedup"] == 1 and all(r["rows_a_second"] > 0 for r in rows)
