@@ -34,7 +34,7 @@ class Settings:
     the recall audit. ``exact``: compare all rows of a label, in blocks, without a graph."""
 
     threshold: float = 0.93
-    shard: int = 2048
+    shard: int = 512
     overlap: int = 2
     sample: int = 4_096
     fanout: int = 256
@@ -153,15 +153,15 @@ def build(x: np.ndarray, settings: Settings) -> np.ndarray:
 class Graph:
     """Out-edges as rows padded with -1, for the greedy search, and the neighbours of
     either direction one after another, for the range search: in a dense group some
-    nodes are on nobody's pruned list, but all have neighbours of their own."""
+    nodes are on nobody's pruned list, but all have neighbours of their own. Both come as
+    edges (source, target)."""
 
-    def __init__(self, out: list[np.ndarray], either: list[np.ndarray]):
-        self.near = np.full((len(out), max(1, max(map(len, out), default=0))), -1, np.int64)
-        for i, a in enumerate(out):
-            self.near[i, : len(a)] = a
-        self.sizes = np.fromiter(map(len, either), np.int64, len(either))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate(either) if either else np.zeros(0, np.int64)
+    def __init__(self, n: int, out: np.ndarray, either: np.ndarray):
+        sizes, starts, flat = _by_source(n, out)
+        self.near = np.full((n, max(1, int(sizes.max(initial=0)))), -1, np.int64)
+        row = np.repeat(np.arange(n), sizes)
+        self.near[row, np.arange(len(flat)) - starts[row]] = flat
+        self.sizes, self.starts, self.flat = _by_source(n, either)
 
     def neighbours(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``nodes``, neighbour) of each neighbour of each node."""
@@ -171,6 +171,14 @@ class Graph:
         return place, self.flat[self.starts[nodes][place] + within]
 
 
+def _by_source(n: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and starts of the targets of each of n sources, and all targets, by source."""
+    source, target = edges
+    order = np.lexsort((target, source))
+    sizes = np.bincount(source, minlength=n)
+    return sizes, np.cumsum(sizes) - sizes, target[order]
+
+
 def range_search(x: np.ndarray, graph: Graph, queries: np.ndarray, start: np.ndarray, settings: Settings, entries: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Boolean (query, node): nodes within ``threshold`` (as far as single precision
     tells) that the search met. Greedy first; then every node within ``slack`` of the
@@ -381,20 +389,32 @@ class _Held:
     def __init__(self, rows: pd.DataFrame):
         self.exact = _unit(_vectors(rows["embedding"]))
         self.ids, self.copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
-        place = pd.Series(np.arange(len(self.ids)), index=self.ids)
-        place = place[~place.index.duplicated()]
-        self.out = [place.reindex(a).dropna().to_numpy(np.int64) for a in rows["near"]]
-        self.either = [np.union1d(a, place.reindex(b).dropna().to_numpy(np.int64)) for a, b in zip(self.out, rows["back"], strict=True)]
+        self.out = self._edges(rows["near"])
+        n = len(self.ids)
+        both = np.concatenate([self.out, self._edges(rows["back"])], axis=1)
+        pair = np.unique(both[0] * n + both[1])
+        self.either = np.stack([pair // n, pair % n])
         self.home = np.zeros((len(rows), max(map(len, rows["home"]))), np.int64)
         self.homes = np.fromiter(map(len, rows["home"]), np.int64, len(rows))
         for i, shards in enumerate(rows["home"]):
             self.home[i, : len(shards)] = shards
         self.has = np.arange(self.home.shape[1])[None, :] < self.homes[:, None]
 
+    def _edges(self, lists: pd.Series) -> np.ndarray:
+        """(place, place) of the listed nodes that are here."""
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.concatenate(lists.to_numpy()).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+        order = np.argsort(self.ids, kind="stable")
+        at = np.minimum(np.searchsorted(self.ids, flat, sorter=order), len(order) - 1)
+        place = order[at]
+        here = self.ids[place] == flat
+        return np.stack([np.repeat(np.arange(len(lists)), sizes)[here], place[here]])
+
     def graph(self, base: np.ndarray) -> Graph:
         inside = np.full(len(self.ids), -1)
         inside[base] = np.arange(len(base))
-        return Graph(*([(a := inside[lists[i]])[a >= 0] for i in base] for lists in (self.out, self.either)))
+        kept = (e[:, (inside[e[0]] >= 0) & (inside[e[1]] >= 0)] for e in (self.out, self.either))
+        return Graph(len(base), *(inside[e] for e in kept))
 
     def share(self, a: np.ndarray, b: np.ndarray, below: int | None = None) -> np.ndarray:
         """Whether two rows have a shard in common, one with a number less than ``below``."""
