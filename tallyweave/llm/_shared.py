@@ -51,6 +51,10 @@ class Scratch:
         self._held: list[DataFrame] = []
         Scratch._open.append(self)
 
+    @classmethod
+    def opened(cls) -> list[Scratch]:
+        return list(cls._open)
+
     @classmethod
     def release(cls, *but: Scratch) -> None:
         """Frees the held blocks and deletes the tables of all runs so far, less ``but``."""

@@ -32,8 +32,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """Each turn with its place (from 0) and the rolling hash of the turns up to it.
 
     Order: turn, nulls first, then role, then text. A conversation of very many turns
-    is summed in blocks of turn numbers, so that it does not fall to one task. Rows
-    with a null conv_id belong to no conversation and are left out.
+    is summed in blocks of turn numbers, so that it does not fall to one task; rows of a
+    conversation that share a turn number, or have none, are one block. Rows with a null conv_id belong to no conversation and are left out.
     """
     known = turns.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", "text")
     blocks = known.withColumn("block", F.coalesce(F.floor(F.col("turn") / PART), F.lit(-(1 << 62))).cast("long")).withColumn("one", F.lit(1).cast("long"))
@@ -52,6 +52,10 @@ def maximal_conversations(turns: DataFrame, spark: SparkSession) -> DataFrame:
     """``conv_id``, ``n_turns``, ``part``, ``rendered``: the conversations that are
     not a proper prefix of another, in the chat format, in parts of ``PART`` turns
     (nearly all have one). Of equal conversations the smallest conv_id stays.
+
+    Null roles and texts differ from empty ones in comparisons and render like them. Turns of
+    one number, or of none, come by role, then text; repeated rows are turns of their own. Texts
+    of any length are rendered whole. Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(spark, "chat")
     rolled = scratch.hold(prefixes(turns))
