@@ -2,7 +2,10 @@
 
 Each stage is ``(name, function)``; a function takes (spark, docs, sf_dir) and returns
 a DataFrame, which is written as Parquet and read again as the next one's ``docs``.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Rows that repeat, also in all their
+columns, are documents of their own to every stage but the second, which keeps one of them;
+rows of one doc_id with different texts are different documents. Null ids, sources and labels
+stay as they are, and an empty table goes through.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays. Near copies
+    are those of op 9: fingerprints of three-word shingles within 2 bits, linked in chains."""
     return simhash.keep_one(docs, spark)
 
 
@@ -58,6 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over ``documents``."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = Scratch.opened()
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name, files_a_core=None)
+        Scratch.release(*others)  # what the stage needed; its result is stored
     return STAGES[-1][1](spark, docs, sf_dir)
