@@ -25,21 +25,27 @@ from tallyweave.operators.exact import frequencies, limit_of, with_total
 ORD_BITS = 63
 
 
-def _grids(grids: Grid | Mapping[int, Grid]) -> Column:
-    """Array of (tag, row, width)."""
-    tagged = {0: grids} if isinstance(grids, Grid) else grids
-    return F.array(
-        *(F.struct(F.lit(t).alias("tag"), F.lit(r).alias("row"), F.lit(g.width).cast("long").alias("width")) for t, g in tagged.items() for r in range(g.rows))
-    )
+def _tagged(grids: Grid | Mapping[int, Grid]) -> dict[int, Grid]:
+    return {0: grids} if isinstance(grids, Grid) else dict(grids)
+
+
+def _hashed(keys: DataFrame, tagged: Mapping[int, Grid], family: str, seed: int) -> DataFrame:
+    """Keys with a hash ``h<row>`` for each row, taken once for all tags that have it."""
+    rows = max(g.rows for g in tagged.values())
+    return keys.select("*", *(hash_pair(F.lit(r), F.col("key"), family, seed).alias(f"h{r}") for r in range(rows)))
 
 
 def places(keys: DataFrame, grids: Grid | Mapping[int, Grid], family: str = "portable", seed: int = 0) -> DataFrame:
-    """Each key with the cell it has in each row: ``tag, row, bucket, sign``. A row's
-    hash is taken once for all tags that have it."""
-    rows = max(g.rows for g in ([grids] if isinstance(grids, Grid) else grids.values()))
-    hashed = keys.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumn("h", hash_pair(F.col("r"), F.col("key"), family, seed))
-    spread = hashed.withColumn("g", F.explode(F.filter(_grids(grids), lambda g: g["row"] == F.col("r"))))
-    return spread.select(*keys.columns, "g.tag", "g.row", F.pmod(F.col("h.hi"), F.col("g.width")).alias("bucket"), sign(F.col("h.lo")).alias("sign"))
+    """Each key with the cell it has in each row: ``tag, row, bucket, sign``."""
+    tagged = _tagged(grids)
+    each = F.array(
+        *(
+            F.struct(F.lit(t).alias("tag"), F.lit(r).alias("row"), F.pmod(F.col(f"h{r}.hi"), F.lit(g.width).cast("long")).alias("bucket"), sign(F.col(f"h{r}.lo")).alias("sign"))
+            for t, g in tagged.items()
+            for r in range(g.rows)
+        )
+    )
+    return _hashed(keys, tagged, family, seed).select(*keys.columns, F.explode(each).alias("g")).select(*keys.columns, "g.tag", "g.row", "g.bucket", "g.sign")
 
 
 def _cells(placed: DataFrame, value: Column) -> DataFrame:
@@ -61,7 +67,7 @@ def merge(*sketches: DataFrame, grids: Grid | Mapping[int, Grid] | None = None)
     whole = reduce(DataFrame.unionByName, sketches)
     if grids is not None:
         wrong = F.raise_error(F.concat(F.lit("a cell outside the grid: "), F.to_json(F.struct("tag", "row", "bucket")))).cast("long")
-        tagged = {0: grids} if isinstance(grids, Grid) else dict(grids)
+        tagged = _tagged(grids)
         inside = reduce(Column.__or__, ((F.col("tag") == t) & F.col("row").between(0, g.rows - 1) & F.col("bucket").between(0, g.width - 1) for t, g in tagged.items()))
         whole = whole.withColumn("cell", F.when(inside, F.col("cell")).otherwise(wrong))
     return whole.groupBy("tag", "row", "bucket").agg(F.sum("cell").alias("cell"))
@@ -87,14 +93,12 @@ def _scored(keys: DataFrame, cells: DataFrame, grids: Grid | Mapping[int, Grid],
 
     The number of cells is known when this is planned. Up to ``DENSE`` of them (32 MB) go to
     every task and keys stay where they are; for larger grids keys are joined with cells."""
-    tagged = {0: grids} if isinstance(grids, Grid) else dict(grids)
+    tagged = _tagged(grids)
     if sum(g.rows * g.width for g in tagged.values()) > DENSE:
         found = places(keys.select("key"), tagged, family, seed).join(cells, ["tag", "row", "bucket"], "left")
         value = F.coalesce(F.col("cell") * F.col("sign") if signed else F.col("cell"), F.lit(0))
         return found.groupBy("tag", "key").agg(F.collect_list(value).alias("v")).select("tag", "key", score(F.col("v")).alias("estimate"))
-    rows = max(g.rows for g in tagged.values())
-    hashed = keys.select("key", *(hash_pair(F.lit(r), F.col("key"), family, seed).alias(f"h{r}") for r in range(rows)))
-    met = hashed.crossJoin(F.broadcast(_dense(cells, tagged)))  # one row
+    met = _hashed(keys.select("key"), tagged, family, seed).crossJoin(F.broadcast(_dense(cells, tagged)))  # one row
 
     def value(t: int, r: int, g: Grid) -> Column:
         cell = F.get(F.col(f"c{t}_{r}"), F.pmod(F.col(f"h{r}.hi"), F.lit(g.width)).cast("int"))
