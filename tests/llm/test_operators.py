@@ -340,7 +340,7 @@ def test_suffix_table_truncation_and_quantiles(spark, docs, empty):
     assert token_counts.suffix_table(token_counts.length_histogram(empty, token_counts.token_count(F.col("text"), spark)), spark).count() == 0
 
 
-def test_huge_texts_count_like_small_ones():
+def test_huge_texts_count_like_small_ones(spark):
     with open(token_counts.RANKS, "rb") as f:
         ranks = f.read()
     text = ("don't   stop 123 é日本 -- " * 3 + "\n\n") * 7000
