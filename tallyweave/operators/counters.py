@@ -10,7 +10,7 @@ no fold are here too.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -413,16 +413,19 @@ def arrival_pool(stream: DataFrame, make: Callable[[], object], share: float) ->
     return dealt.mapInPandas(of, "key string")
 
 
-def lossy_counting_unique(stream: DataFrame, window: int, shift: int = 10) -> DataFrame:
-    """``key``, ``estimate``: Lossy Counting of a stream in which each key comes once.
-    The last pruning decides, so a key stays if its weight plus the windows full when it
-    came exceed those full at the end."""
+def lossy_counting_unique(stream: DataFrame, window: int | Mapping[int, int], shift: int = 10) -> DataFrame:
+    """``key``, ``estimate`` (and ``tag``, if windows come by tag): Lossy Counting of a stream
+    in which each key comes once. The last pruning decides, so a key stays if its weight plus
+    the windows full when it came exceed those full at the end. What came before a key is
+    summed once for all windows."""
     ranged = stream.withColumn("range", F.shiftright("ord", shift))
     running = prefix_sums(ranged, [], "range", ["ord", "key"], "weight", "before", 63 - shift)
-    kept = with_total(running, stream, "weight").filter(
-        F.col("weight") + F.floor(F.col("before") / window) > F.floor(F.col("n") / window)
+    windows = {0: window} if isinstance(window, int) else dict(window)
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(w).alias("window")) for t, w in windows.items())))
+    kept = with_total(running, stream, "weight").withColumn("w", each).filter(
+        F.col("weight") + F.floor(F.col("before") / F.col("w.window")) > F.floor(F.col("n") / F.col("w.window"))
     )
-    return kept.select("key", F.col("weight").alias("estimate"))
+    return kept.select(*(["w.tag"] if not isinstance(window, int) else []), "key", F.col("weight").alias("estimate"))
 
 
 def lower_limit(phi: float, epsilon: float) -> Column:
