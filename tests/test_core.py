@@ -524,6 +524,35 @@ def test_batched_ams(spark):
     assert sorted(map(tuple, linear.merge_ams(*halves).collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_batched_ams_equals_brute_force(spark):
+    """State, estimates and the sweep's row, from signs worked out in whole numbers."""
+    import xxhash
+
+    mask, rows = (1 << 64) - 1, [(f"k{i}", 1 + (i * i) % 37) for i in range(40)]
+
+    def sign(key, copy):
+        x = xxhash.xxh64_intdigest(key, 42) ^ ((copy + 1) * 0x9E3779B97F4A7C15 & mask)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & mask
+        return 1 if x >> 63 else -1
+
+    def estimate(key, state, grid):
+        means = [math.trunc(sum(sign(key, r * grid.width + c) * state[r * grid.width + c] for c in range(grid.width)) / grid.width) for r in range(grid.rows)]
+        return sorted(means)[grid.rows // 2]
+
+    c, kb = counted(spark, rows), 1
+    for grid in (Grid(3, 20), sizing.gated_ams_for(kb)[1]):
+        state = [sum(w * sign(k, i) for k, w in rows) for i in range(grid.rows * grid.width)]
+        made = linear.ams_batched(c, grid)
+        assert [r["x"] for r in made.orderBy("row", "copy").collect()] == state
+        expected = {k: estimate(k, state, grid) for k, _ in rows}
+        assert as_dict(linear.ams_batched_estimates(c, made, grid)) == expected
+    found = experiments.memory_sweep(make(spark, rows), (kb,), 0.03, ("ams_batched",)).first()
+    limit = math.ceil(0.03 * sum(w for _, w in rows))
+    true, told = {k for k, w in rows if w >= limit}, {k for k, e in expected.items() if e >= limit}
+    assert (found["reported_count"], found["true_count"], found["tp"], found["fp"]) == (len(told), len(true), len(true & told), len(told - true))
+
+
 def test_timed_builds(spark):
     stream = make(spark, ROWS)
     rows = experiments.timed(lambda p: linear.by_partition(exact.frequencies(stream), p, Grid(2, 8)), (1, 2), 5)

@@ -19,7 +19,15 @@ def test_oracles_belong_to_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["exact_heavy_hitters", "cms_estimates", "countsketch_heavy_hitters", "mg_merge", "lc_preaggregated", "concise_sample", "ams_estimates", "parse_pageviews"])
+#: At least one query of each kind, with all folds, samples and sweeps that are not slow.
+HELD = (
+    "exact_heavy_hitters", "key_diagnostic", "parse_pageviews", "cms_estimates", "cms_candidate_pool", "countsketch_heavy_hitters", "countsketch_candidate_pool",
+    "ams_estimates", "mg_merge", "mg_fold", "ss_fold", "lc_fold", "counter_candidate_pools", "fold_bounds", "lc_preaggregated", "summary_memory", "concise_sample",
+    "reservoir_estimates", "heavy_weight_samples", "memory_sweep", "baseline_quality", "partition_sweep", "counter_partition_sweep", "ss_memory_sweep",
+)
+
+
+@pytest.mark.parametrize("name", HELD)
 def test_queries_equal_their_sql(spark, sf, name):
     import duckdb
 
@@ -30,6 +38,7 @@ def test_queries_equal_their_sql(spark, sf, name):
     names = sorted(found.columns)
     expected = con.execute(f"select {', '.join(names)} from ({plans.ORACLES[name]})").fetchall()
     assert sorted(map(str, (tuple(r[c] for c in names) for r in found.collect()))) == sorted(map(str, expected))
+    spark.catalog.clearCache()
 
 
 @pytest.mark.parametrize("also", [(), ("corpus_pipeline.py",)])
