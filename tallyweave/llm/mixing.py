@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm._shared import Scratch, hex_order, join_copies, ranked_sums, row_marks, running_sums, word_count
@@ -59,6 +59,9 @@ def _queued(docs: DataFrame, size: Column, scratch: Scratch, ties: Sequence[Colu
     tied = sizes.columns[4:]
     rows = sizes.select("row", "doc_id", "size", *tied, name, unnamed, order.alias("order"), F.substring(order, 1, 3).alias("bucket"))
     queued = running_sums(rows, ["source", "unnamed"], "bucket", ["order", "doc_id", *(tied or ["size"]), "row"], {"size": "before"})
+    if tied:  # rows equal in all columns follow one another: which of them this is, and how many there are
+        equal = Window.partitionBy("source", "unnamed", "bucket", "order", "doc_id", *tied)
+        queued = queued.withColumn("nth", F.row_number().over(equal.orderBy("row"))).withColumn("there", F.count("*").over(equal))
     named = targets.select(name, unnamed, "source_docs", "source_size", "target")
     return join_copies(queued, named, ["source", "unnamed"], "source_docs", scratch, SOURCES), targets
 
@@ -145,16 +148,10 @@ def mixed_documents(docs: DataFrame, spark: SparkSession, size: Column | None =
     order = ["finish", "source", "unnamed", "epoch", *own, "row"]
     placed = running_sums(uses.select("*", F.lit(0).alias("mix"), step.alias("step")), ["mix"], "step", order, {"size": "ahead"})
     whole = targets.agg(F.round(F.sum("target"), 3).alias("budget"))  # one row
-    taken = placed.crossJoin(F.broadcast(whole)).withColumn("is_used", F.expr("ahead < budget OR target = 0"))
-    # Of equal rows: how many there are, the last epoch that uses any, and how many it uses.
-    equal = taken.groupBy("source", "unnamed", *own).agg(
-        F.sum((F.col("epoch") == 0).cast("int")).alias("there"),
-        F.max(F.when(F.col("is_used"), F.col("epoch"))).alias("epoch"),
-        *(F.sum((F.col("is_used") & (F.col("epoch") == e)).cast("int")).alias(f"used{e}") for e in range(EPOCHS)),
-    )
-    used = F.element_at(F.array(*(F.col(f"used{e}") for e in range(EPOCHS))), F.col("epoch") + 1)
-    last = F.max(F.struct("epoch", F.struct(*own).alias("at"), used.alias("used"), "there"))
-    per_source = equal.filter("epoch IS NOT NULL").groupBy("source", "unnamed").agg(last.alias("last"), F.sum("there").alias("docs"))
+    taken = placed.crossJoin(F.broadcast(whole)).filter("ahead < budget OR target = 0")
+    # The last use of each source, and how many of the rows that equal it are used by then.
+    last = F.max(F.struct("epoch", F.struct(*own).alias("at"), F.col("nth").alias("used"), "there"))
+    per_source = taken.groupBy("source", "unnamed").agg(last.alias("last"), F.count("*").alias("docs"))
     cuts = scratch.keep(per_source.select(*(F.col(c).alias(f"_cut_{c}") for c in per_source.columns)), "cuts")
     keyed = docs.select(
         "*",
